@@ -192,21 +192,28 @@ def _forest_fn():
     return fn
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int = 200) -> DataFrame:
-    """Min-label propagation over `(gid, u, v)` edges; returns `(gid, uniq_ord, comp)`.
-
-    Each round is a join + aggregate; the label table is checkpointed every
-    round so lineage stays short and a lost executor costs one round.
+def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
+    """Connected components of `(gid, u, v)` edges; returns `(gid, uniq_ord, comp)`
+    with `comp` = smallest vertex id of the component.
+
+    Each round takes the minimum label over neighbours and then jumps pointers
+    (label <- label of label), which needs O(log diameter) rounds on long
+    chains instead of O(diameter). Labels are checkpointed every round so
+    lineage stays short and a lost executor costs one round.
     """
     und = edges.select("gid", "u", "v").unionByName(
         edges.select("gid", F.col("v").alias("u"), F.col("u").alias("v")))
     und = lineage.cut(und)
-    labels = vertices.select("gid", "uniq_ord", F.col("uniq_ord").alias("comp"))
+    labels = lineage.cut(vertices.select("gid", "uniq_ord", F.col("uniq_ord").alias("comp")))
     for _ in range(max_iter):
         nb = (und.join(labels.withColumnRenamed("uniq_ord", "v").withColumnRenamed("comp", "lv"), ["gid", "v"])
               .groupBy("gid", "u").agg(F.min("lv").alias("m")))
-        new = (labels.join(nb.withColumnRenamed("u", "uniq_ord"), ["gid", "uniq_ord"], "left")
-               .select("gid", "uniq_ord", F.least("comp", F.coalesce("m", "comp")).alias("comp")))
+        step = (labels.join(nb.withColumnRenamed("u", "uniq_ord"), ["gid", "uniq_ord"], "left")
+                .select("gid", "uniq_ord", F.least("comp", F.coalesce("m", "comp")).alias("comp")))
+        # a component label must also be lowered where its root was lowered
+        via = step.join(step.select("gid", F.col("uniq_ord").alias("comp"), F.col("comp").alias("jump")),
+                        ["gid", "comp"], "left")
+        new = via.select("gid", "uniq_ord", F.least("comp", F.coalesce("jump", "comp")).alias("comp"))
         new = lineage.cut(new)
         changed = new.join(labels.withColumnRenamed("comp", "old"), ["gid", "uniq_ord"]) \
             .where(F.col("comp") != F.col("old")).limit(1).count()
@@ -259,7 +266,7 @@ def thresholds(method: str, dist: F.Column) -> F.Column:
 
 def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score: str = "default",
                   linkage: str = "average", cap: int = DEFAULT_CAP, group_cols=GROUP,
-                  n_clusters: int | None = None, block: int = 1000) -> DataFrame:
+                  n_clusters: int | None = None, block: int = 1000, approx: bool = False) -> DataFrame:
     """Cluster distinct lines within groups and pick the best cut per group.
 
     `lines`: `(dataset, [pkey], uniq_ord, embedding[, freq])`. `dist` is a
@@ -303,10 +310,14 @@ def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score:
         comps = split_components(big, block=block)
         csize = comps.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("c_n"))
         over = csize.where(F.col("c_n") > cap).limit(1).count()
+        if over and not approx:
+            raise RuntimeError(f"a connected component exceeds cap={cap} lines; raise cap, lower the "
+                               "distance threshold, or pass approx=True")
+        comps = comps.join(csize, ["gid", "comp"]).withColumn("chunk", F.lit(0).cast("long"))
         if over:
-            raise RuntimeError(f"a connected component exceeds cap={cap} lines; "
-                               "raise cap or lower the distance threshold")
-        comp_in = comps.withColumn("gid2", F.concat_ws("\u0002", "gid", F.col("comp").cast("string")))
+            comps = approx_chunks(comps, cap)
+        comp_in = comps.withColumn("gid2", F.concat_ws("\u0002", "gid", F.col("comp").cast("string"),
+                                                       F.col("chunk").cast("string")))
         part = comp_in.select(F.col("gid2").alias("gid"), "uniq_ord", "embedding", "thrs") \
             .groupBy("gid").applyInPandas(fn, _CUT_SCHEMA) \
             .withColumn("gid", F.substring_index("gid", "\u0002", 1))
@@ -321,6 +332,23 @@ def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score:
         .drop("gid", "thrs", "_dist", "g_n", "g_freq", "label")
 
 
+def approx_chunks(comps: DataFrame, cap: int) -> DataFrame:
+    """E10 approximate tail: a component above `cap` is cut into chunks of at
+    most `cap` lines that are contiguous along a fixed random projection
+    (nearby lines stay together), each clustered exactly. Only those lines
+    are affected; none is dropped. The projection direction is a fixed
+    pseudo-random function of the coordinate index."""
+    proj = F.aggregate(
+        F.transform("embedding", lambda x, i: x.cast("double") *
+                    ((F.pmod(i.cast("long") * 2654435761, F.lit(1000)) / 1000.0) - 0.5)),
+        F.lit(0.0).cast("double"), lambda a, x: a + x)
+    big = comps.where(F.col("c_n") > cap).withColumn("_proj", proj).withColumn("_key", F.concat_ws("/", "gid", F.col("comp").cast("string")))
+    from .frame_ops import positional_index
+    idx = positional_index(big, keys=("_key",), order_col="_proj", name="_pos")
+    idx = idx.withColumn("chunk", F.floor(F.col("_pos") / F.lit(cap)).cast("long")).drop("_proj", "_key", "_pos")
+    return comps.where(F.col("c_n") <= cap).unionByName(idx)
+
+
 def cut_scores(cuts: DataFrame, lines: DataFrame, score: str = "default") -> DataFrame:
     """E4/E5 per (group, cut): `log1p(k) - 2*singleton share - 5*largest share`
     (- 3 * frequency share of singleton clusters), -1000 if largest > 60%."""

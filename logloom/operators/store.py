@@ -39,7 +39,7 @@ def centroids(df: DataFrame, keys, vec: str = "embedding", eps: float = 1e-8) ->
 def build_store(lines: DataFrame, params: DataFrame | None = None, *, dist=None, tau=None,
                 n_clusters=None, variant: str = "default", score: str = "default",
                 encoder=None, dim: int = 64, cap: int = C.DEFAULT_CAP, as_of=None,
-                embedded: DataFrame | None = None) -> DataFrame:
+                embedded: DataFrame | None = None, approx: bool = False) -> DataFrame:
     """G2 (+G8 variants): preprocessed lines -> store rows, all data sets at once.
 
     `lines`: `(dataset, line_id, content, normalised)`. Per-system parameters
@@ -58,7 +58,7 @@ def build_store(lines: DataFrame, params: DataFrame | None = None, *, dist=None,
         d = config.DEFAULT_DIST
     method = "single_stage" if variant == "no_keyword" else "two_stage"
     k = n_clusters
-    clustered = C.cluster_lines(emb, dist=d, method=method, score=score, cap=cap, n_clusters=k)
+    clustered = C.cluster_lines(emb, dist=d, method=method, score=score, cap=cap, n_clusters=k, approx=approx)
     clustered = clustered.select("dataset", "cluster_id", "normalised", "content", "uniq_ord", "embedding")
     t = params if tau is None else float(tau)
     if t is None:

@@ -394,12 +394,12 @@ def q_freq(spark, sf):
 
 @query("single_stage_clusters")
 def q_single_stage(spark, sf):
-    return _clusters(spark, sf, dist=HDFS.dist, method="single_stage", keyword_stage=False)
+    return _clusters(spark, sf, dist=HDFS.dist, method="single_stage", keyword_stage=False, approx=True)
 
 
 @query("adaptive_clusters")
 def q_adaptive(spark, sf):
-    return _clusters(spark, sf, dist=0.2, method="adaptive", keyword_stage=False, linkage="complete")
+    return _clusters(spark, sf, dist=0.2, method="adaptive", keyword_stage=False, linkage="complete", approx=True)
 
 
 @query("exact_k")
@@ -412,7 +412,8 @@ def q_exact_k(spark, sf):
 def events_store(spark, sf, variant="default"):
     pp = events_pp(spark, sf)
     params = spark.createDataFrame([("events", HDFS.dist, HDFS.tau)], "dataset string, dist double, tau double")
-    return store.build_store(pp, params, variant=variant, as_of="2024-01-01 00:00:00")
+    return store.build_store(pp, params, variant=variant, as_of="2024-01-01 00:00:00",
+                             approx=(variant == "no_keyword"))
 
 
 @query("build_store")
@@ -531,3 +532,326 @@ def q_compact_store(spark, sf):
         F.lit("t").alias("template"), F.col("embedding").alias("centroid"), F.lit(1).cast("long").alias("occurrences"),
         F.col("vec_id").alias("store_ord"))
     return store.compact(e, capacity=10, thr=0.9).select("template_id", "occurrences")
+
+
+ORACLES["topk_matmul"] = ORACLES["topk_cosine"]
+
+
+# ------------------------------------------------------------ slice store, R2–R8, I1–I10
+
+def slice_store(spark, sf, pp_fn=events_pp, tau=_SLICE_T) -> DataFrame:
+    """Store from the minimum slice: keyword clusters, voted templates and the
+    centroids of the clusters' hashed line vectors."""
+    cl = _slice_clusters(spark, sf, pp_fn)
+    tm = templates.extract_templates(cl, tau)
+    enc = V.encode_lines(cl, "normalised")
+    cents = store.centroids(enc, ["dataset", "cluster_id"])
+    return tm.join(cents, ["dataset", "cluster_id"]).select(
+        "dataset", T.template_id("template").alias("template_id"), "template", "centroid",
+        F.col("n_lines").cast("long").alias("occurrences"), F.lit("parser").alias("source"), "store_ord", "cluster_id")
+
+
+def slice_predictions(spark, sf) -> DataFrame:
+    """Every event line with its truth and its slice cluster/template."""
+    pp = events_pp(spark, sf)
+    cl = _slice_clusters(spark, sf)
+    tm = templates.extract_templates(cl, _SLICE_T)
+    r = match.template_lookup(pp, cl, tm)
+    return r.select("dataset", "line_id", "content", "normalised", F.col("EventId").alias("gt_id"),
+                    F.col("EventTemplate").alias("gt_template"), F.col("cluster_id").alias("pred_id"),
+                    F.col("template").alias("pred_template"))
+
+
+_SLICE_PRED_SQL = f"""(SELECT p.dataset, p.line_id, p.content, p.normalised, p.EventId AS gt_id,
+  p.EventTemplate AS gt_template, {S.partition_key('p.normalised', 'p.dataset')} AS pred_id,
+  coalesce(v.template, '<*>') AS pred_template
+  FROM {EV_PP} p LEFT JOIN {_vote_sql(EV_PP, _SLICE_T)} v
+  ON v.dataset = p.dataset AND v.cluster_id = {S.partition_key('p.normalised', 'p.dataset')})"""
+
+
+@query("template_lookup", f"SELECT dataset, line_id, pred_id, pred_template FROM {_SLICE_PRED_SQL}")
+def q_template_lookup(spark, sf):
+    return slice_predictions(spark, sf).select("dataset", "line_id", "pred_id", "pred_template")
+
+
+@query("gt_join", f"""SELECT p.line_id, p.pred_template, g.EventId FROM {_SLICE_PRED_SQL} p
+  JOIN (SELECT line_id, EventId FROM {EV_SQL} WHERE line_id % 7 <> 0) g ON p.line_id = g.line_id""")
+def q_gt_join(spark, sf):
+    """Inner join of predictions with a truth table that lacks some lines."""
+    gt = tables.event_logs(spark, sf).select("line_id", "EventId").where(F.col("line_id") % 7 != 0)
+    return match.ground_truth_join(slice_predictions(spark, sf).select("line_id", "pred_template"), gt)
+
+
+@query("missing_default", f"""SELECT p.line_id, coalesce(g.EventId, 'MISSING_' || CAST(p.line_id AS VARCHAR)) AS EventId
+  FROM {_SLICE_PRED_SQL} p LEFT JOIN (SELECT line_id, EventId FROM {EV_SQL} WHERE line_id % 7 <> 0) g
+  ON p.line_id = g.line_id""")
+def q_missing_default(spark, sf):
+    gt = tables.event_logs(spark, sf).select("line_id", "EventId").where(F.col("line_id") % 7 != 0)
+    return match.missing_default(slice_predictions(spark, sf).select("line_id"), gt)
+
+
+def _ga_sql(src: str) -> str:
+    return f"""(WITH c AS (SELECT dataset, gt_id, pred_id, count(*) AS n FROM {src} GROUP BY ALL),
+ g AS (SELECT dataset, gt_id, sum(n) AS ng FROM c GROUP BY ALL),
+ p AS (SELECT dataset, pred_id, sum(n) AS np FROM c GROUP BY ALL),
+ x AS (SELECT c.*, (c.n = g.ng AND c.n = p.np) AS exact FROM c JOIN g USING (dataset, gt_id) JOIN p USING (dataset, pred_id)),
+ s AS (SELECT dataset, sum(n) AS N, sum(CASE WHEN exact THEN n ELSE 0 END) AS ok,
+          sum(CASE WHEN exact THEN 1 ELSE 0 END) AS pairs, count(DISTINCT gt_id) AS ngt, count(DISTINCT pred_id) AS npd
+       FROM x GROUP BY dataset)
+ SELECT dataset, ok / N AS GA, CASE WHEN pairs / greatest(npd, 1) + pairs / greatest(ngt, 1) > 0 THEN
+   2 * (pairs / greatest(npd, 1)) * (pairs / greatest(ngt, 1)) / (pairs / greatest(npd, 1) + pairs / greatest(ngt, 1))
+   ELSE 0.0 END AS FGA FROM s)"""
+
+
+def _fta_sql(src: str) -> str:
+    return f"""(WITH d AS (SELECT *, {S.scoring_form('gt_template')} AS g, {S.scoring_form('pred_template')} AS p FROM {src}),
+ v AS (SELECT dataset, pred_id, g, count(*) AS c, min(line_id) AS f FROM d GROUP BY ALL),
+ m AS (SELECT dataset, pred_id, arg_max(g, (c, -f)) AS maj FROM v GROUP BY ALL),
+ l AS (SELECT dataset, pred_id, arg_max(p, line_id) AS lp FROM d GROUP BY ALL),
+ k AS (SELECT m.dataset, m.pred_id, m.maj, m.maj = l.lp AS ok FROM m JOIN l USING (dataset, pred_id)),
+ s AS (SELECT dataset, count(*) AS npg, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS nok,
+          count(DISTINCT CASE WHEN ok THEN maj END) AS nokt FROM k GROUP BY dataset),
+ u AS (SELECT dataset, count(DISTINCT g) AS nt FROM d GROUP BY dataset)
+ SELECT dataset, CASE WHEN nok / greatest(npg, 1) + nokt / greatest(nt, 1) > 0 THEN
+   2 * (nok / greatest(npg, 1)) * (nokt / greatest(nt, 1)) / (nok / greatest(npg, 1) + nokt / greatest(nt, 1))
+   ELSE 0.0 END AS FTA FROM s JOIN u USING (dataset))"""
+
+
+@query("grouping_accuracy", f"SELECT dataset, round(GA, 6) AS GA, round(FGA, 6) AS FGA FROM {_ga_sql(_SLICE_PRED_SQL)}")
+def q_grouping_accuracy(spark, sf):
+    m = metrics.grouping_accuracy(slice_predictions(spark, sf))
+    return m.select("dataset", F.round("GA", 6).alias("GA"), F.round("FGA", 6).alias("FGA"))
+
+
+@query("fta", f"SELECT dataset, round(FTA, 6) AS FTA FROM {_fta_sql(_SLICE_PRED_SQL)}")
+def q_fta(spark, sf):
+    return metrics.template_accuracy(slice_predictions(spark, sf)).select("dataset", F.round("FTA", 6).alias("FTA"))
+
+
+@query("parsing_accuracy")
+def q_parsing_accuracy(spark, sf):
+    return metrics.parsing_accuracy(slice_predictions(spark, sf))
+
+
+@query("evaluate_macro")
+def q_evaluate_macro(spark, sf):
+    """I5 + R2: truth lines matched (hybrid, alpha 0.7) against the slice store."""
+    from . import evaluate as EV
+    lines = EV.truth_lines(events_pp(spark, sf))
+    per = EV.evaluate(lines, slice_store(spark, sf), alpha=0.7)
+    return per.unionByName(metrics.macro_mean(per).select(
+        F.lit("MEAN").alias("dataset"), *[F.round(c, 4).alias(c) for c in ("GA", "PA", "FGA", "FTA")],
+        F.lit(None).cast("long").alias("store_templates"), F.lit(0.7).alias("alpha")))
+
+
+@query("hybrid_best")
+def q_hybrid_best(spark, sf):
+    d = frame_ops.distinct_lines(events_pp(spark, sf))
+    enc = V.encode_lines(d, "normalised")
+    b = match.best_match(enc, slice_store(spark, sf), alpha=0.7, line_key=("dataset", "normalised"))
+    return b.select("dataset", "normalised", "template_id", F.round("score", 4).alias("score"), "match_type")
+
+
+def unknown_lines_pp(spark, sf) -> DataFrame:
+    u = tables.unknown_lines(spark, sf)
+    u = u.withColumn("content", T.unknown_content(F.col("raw"))).withColumn("normalised", T.unknown_mask(F.col("content")))
+    return V.encode_lines(u.where(F.col("normalised") != ""), "normalised")
+
+
+def all_stores(spark, sf) -> DataFrame:
+    return slice_store(spark, sf).unionByName(slice_store(spark, sf, docs_pp, 0.5))
+
+
+@query("cross_store_topk")
+def q_cross_store(spark, sf):
+    r = match.cross_store_topk(unknown_lines_pp(spark, sf), all_stores(spark, sf), k=3, alpha=0.5)
+    return r.select("line_id", "rank", "store_dataset", "template_id", F.round("score", 4).alias("score"))
+
+
+@query("unknown_summary")
+def q_unknown_summary(spark, sf):
+    """I9 + B24: best cross-store match per unknown line, classes and counts."""
+    u = unknown_lines_pp(spark, sf)
+    r = match.cross_store_topk(u, all_stores(spark, sf), k=1, alpha=0.5)
+    j = u.join(r, "line_id", "left").withColumn("match_type", T.match_class(F.coalesce("score", F.lit(0.0))))
+    shaped = match.shape_unknown(j)
+    return metrics.class_summary(shaped).select("match_type", "n", "total", "pct")
+
+
+@query("keyword_blocked_best")
+def q_keyword_blocked(spark, sf):
+    r = match.keyword_blocked_best(unknown_lines_pp(spark, sf), all_stores(spark, sf), alpha=0.7)
+    return r.select("line_id", "dataset", F.round("score", 4).alias("score"))
+
+
+@query("cross_system_rates")
+def q_cross_system_rates(spark, sf):
+    best = match.keyword_blocked_best(unknown_lines_pp(spark, sf), all_stores(spark, sf), alpha=0.7)
+    order = ["events", "de", "en", "es", "fr"]
+    return metrics.cross_system_rates(best, order)
+
+
+# ------------------------------------------------------------ sweeps
+
+@query("alpha_sweep")
+def q_alpha_sweep(spark, sf):
+    from . import evaluate as EV
+    return EV.alpha_sweep(EV.truth_lines(events_pp(spark, sf)), slice_store(spark, sf))
+
+
+@query("tau_r_sweep")
+def q_tau_r_sweep(spark, sf):
+    from . import evaluate as EV
+    cl = _slice_clusters(spark, sf)
+    return EV.tau_r_sweep(EV.truth_lines(events_pp(spark, sf)), cl)
+
+
+@query("tau_d_sweep")
+def q_tau_d_sweep(spark, sf):
+    from . import evaluate as EV
+    return EV.tau_d_sweep(EV.truth_lines(events_pp(spark, sf)), HDFS.dist, HDFS.tau)
+
+
+# ------------------------------------------------------------ streaming, K2
+
+def _online_setup(spark, sf):
+    pp = events_pp(spark, sf)
+    sp = frame_ops.ordered_split(pp)
+    off = sp.where(F.col("split") == "offline")
+    params = spark.createDataFrame([("events", HDFS.dist, HDFS.tau)], "dataset string, dist double, tau double")
+    st = store.build_store(off, params, as_of="2024-01-01 00:00:00")
+    on = V.encode_lines(sp.where(F.col("split") == "online"), "normalised")
+    return st, on, pp
+
+
+@query("stream_exact")
+def q_stream_exact(spark, sf):
+    from ..streaming import stream
+    st, on, _ = _online_setup(spark, sf)
+    return stream.run_file_stream(spark, on, st)
+
+
+@query("stream_replay_cap")
+def q_stream_replay_cap(spark, sf):
+    from ..streaming import stream
+    st, on, _ = _online_setup(spark, sf)
+    return stream.run_file_stream(spark, on, st, max_logs=500)
+
+
+@query("match_summary")
+def q_match_summary(spark, sf):
+    from ..streaming import stream
+    st, on, _ = _online_setup(spark, sf)
+    res = stream.run_file_stream(spark, on, st)
+    return metrics.stream_summary(res)
+
+
+@query("online_metrics")
+def q_online_metrics(spark, sf):
+    from ..streaming import stream
+    st, on, pp = _online_setup(spark, sf)
+    res = stream.run_file_stream(spark, on, st)
+    gt = pp.select("dataset", "line_id", "EventId", "EventTemplate", F.col("content").alias("Content"))
+    return metrics.online_metrics(res, gt)
+
+
+@query("report_columns")
+def q_report_columns(spark, sf):
+    from ..streaming import stream
+    st, on, _ = _online_setup(spark, sf)
+    return metrics.report_columns(metrics.stream_summary(stream.run_file_stream(spark, on, st)))
+
+
+@query("entropy_monitor")
+def q_entropy_monitor(spark, sf):
+    from ..streaming import monitor
+    p = slice_predictions(spark, sf).select("dataset", "line_id", T.template_id("pred_template").alias("template_id"))
+    return monitor.entropy_checkpoints(p)
+
+
+# ------------------------------------------------------------ baselines, pairs
+
+@query("lcs_parse")
+def q_lcs_parse(spark, sf):
+    from ..operators import baselines as B
+    return B.lcs_parse(spark, events_pp(spark, sf).select("dataset", "line_id", "normalised"))
+
+
+@query("lcs_match")
+def q_lcs_match(spark, sf):
+    from ..operators import baselines as B
+    sp = frame_ops.ordered_split(events_pp(spark, sf))
+    tm = B.lcs_templates(spark, sp.where(F.col("split") == "offline").select("dataset", "line_id", "normalised"))
+    return B.lcs_match(sp.where(F.col("split") == "online"), tm).select("dataset", "line_id", "template", F.round("sim", 4).alias("sim"))
+
+
+@query("tree_parse")
+def q_tree_parse(spark, sf):
+    from ..operators import baselines as B
+    return B.tree_parse(spark, events_pp(spark, sf).select("dataset", "line_id", "normalised"))
+
+
+@query("baseline_comparison")
+def q_baseline_comparison(spark, sf):
+    """L4: frozen LCS templates on held-out lines; unmatched lines are their own group."""
+    from ..operators import baselines as B
+    pp = events_pp(spark, sf)
+    sp = frame_ops.ordered_split(pp)
+    tm = B.lcs_templates(spark, sp.where(F.col("split") == "offline").select("dataset", "line_id", "normalised"))
+    on = sp.where(F.col("split") == "online")
+    m = B.lcs_match(on, tm).join(on.select("dataset", "line_id", "normalised"), ["dataset", "line_id"])
+    g = B.heldout_grouping(m, pp.select("dataset", "line_id", "EventId"))
+    return metrics.grouping_accuracy(g).select("dataset", F.lit("lcs").alias("method"), "GA")
+
+
+@query("match_rate_comparison")
+def q_match_rate_comparison(spark, sf):
+    from ..operators import baselines as B
+    lines = events_pp(spark, sf).select("dataset", "line_id", "normalised")
+    return B.match_rate(B.lcs_parse(spark, lines), "lcs").unionByName(B.match_rate(B.tree_parse(spark, lines), "tree"))
+
+
+@query("method_winners")
+def q_method_winners(spark, sf):
+    """I10 over per-data-set accuracies of the three methods (template method =
+    slice GA, tree and LCS = learning-run match rates)."""
+    from ..operators import baselines as B
+    lines = events_pp(spark, sf).select("dataset", "line_id", "normalised")
+    ga = metrics.grouping_accuracy(slice_predictions(spark, sf)).select("dataset", F.col("GA").alias("template_acc"))
+    lc = B.match_rate(B.lcs_parse(spark, lines), "lcs").select("dataset", F.col("match_rate").alias("lcs_acc"))
+    tr = B.match_rate(B.tree_parse(spark, lines), "tree").select("dataset", F.col("match_rate").alias("tree_acc"))
+    return metrics.method_winners(ga.join(lc, "dataset").join(tr, "dataset"))
+
+
+def _pair_input(spark, sf):
+    return events_pp(spark, sf).select("dataset", "line_id", "content", "EventId")
+
+
+@query("positive_pairs", f"""
+WITH s AS (SELECT dataset, EventId, line_id, content, row_number() OVER (PARTITION BY dataset, EventId
+             ORDER BY CAST(('0x' || substr(md5('42|' || CAST(line_id AS VARCHAR)), 1, 8)) AS BIGINT), line_id) AS r
+           FROM {EV_PP}),
+p AS (SELECT dataset, EventId, r, content AS text_a, lead(content) OVER (PARTITION BY dataset, EventId ORDER BY r) AS text_b
+      FROM s WHERE r <= 10),
+f AS (SELECT dataset, EventId, min(line_id) AS g FROM {EV_PP} GROUP BY ALL),
+k AS (SELECT p.*, row_number() OVER (PARTITION BY p.dataset ORDER BY f.g, p.r) AS k FROM p JOIN f USING (dataset, EventId)
+      WHERE text_b IS NOT NULL)
+SELECT dataset, text_a, text_b, 1 AS label FROM k WHERE k <= 200""")
+def q_positive_pairs(spark, sf):
+    from ..operators import pairs
+    return pairs.positive_pairs(_pair_input(spark, sf)).drop("_k")
+
+
+@query("negative_pairs")
+def q_negative_pairs(spark, sf):
+    from ..operators import pairs
+    pi = _pair_input(spark, sf)
+    pos = pairs.positive_pairs(pi)
+    n_pos = pos.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pos"))
+    return pairs.negative_pairs(pi, n_pos).drop("_k")
+
+
+@query("pair_similarity")
+def q_pair_similarity(spark, sf):
+    from ..operators import pairs
+    return pairs.pair_similarity(pairs.training_pairs(_pair_input(spark, sf)).drop("_k"))
