@@ -34,7 +34,7 @@ from .. import config
 from ..plans import lineage
 
 GROUP = ("dataset", "pkey")
-DEFAULT_CAP = 4000
+DEFAULT_CAP = 5000  # 5000^2 float64 distances = 200 MB per task
 
 
 # ------------------------------------------------------------ numpy kernels

@@ -495,7 +495,7 @@ def q_store_upsert(spark, sf):
     e = tables.embedding_vectors(spark, sf)
     delta = e.where(F.col("vec_id") % 2 == 0).select(
         F.lit("emb").alias("dataset"),
-        F.concat(F.lit("cluster "), (F.col("label") % 12).cast("string"), F.lit(" <*>")).alias("template"),
+        F.concat(F.lit("cluster "), (F.col("label") + F.col("vec_id") % 3).cast("string"), F.lit(" <*>")).alias("template"),
         F.col("embedding").alias("centroid"), F.lit(1).alias("count"), F.lit("online").alias("source"),
         F.col("vec_id").alias("line_id"))
     return store.upsert(st, delta, as_of="2024-01-02").select("template_id", "template", "occurrences", "source")
@@ -516,12 +516,12 @@ def q_keyword_lookup(spark, sf):
 @query("compaction_pairs", f"""
 WITH s AS (SELECT 'emb' AS dataset, vec_id AS ord, embedding AS c FROM embeddings)
 SELECT a.ord AS ord_i, b.ord AS ord_j, round({S.dot('a.c', 'b.c')}, 4) AS sim FROM s a JOIN s b
-  ON a.dataset = b.dataset AND a.ord < b.ord WHERE {S.dot('a.c', 'b.c')} >= 0.9""")
+  ON a.dataset = b.dataset AND a.ord < b.ord WHERE {S.dot('a.c', 'b.c')} >= 0.4""")
 def q_compaction_pairs(spark, sf):
     e = tables.embedding_vectors(spark, sf).select(
         F.lit("emb").alias("dataset"), F.col("vec_id").cast("string").alias("template_id"),
         F.col("vec_id").alias("store_ord"), F.col("embedding").alias("centroid"))
-    p = store.compaction_pairs(e, 0.9)
+    p = store.compaction_pairs(e, 0.4)
     return p.select("ord_i", "ord_j", F.round("sim", 4).alias("sim"))
 
 
@@ -531,7 +531,7 @@ def q_compact_store(spark, sf):
         F.lit("emb").alias("dataset"), F.col("vec_id").cast("string").alias("template_id"),
         F.lit("t").alias("template"), F.col("embedding").alias("centroid"), F.lit(1).cast("long").alias("occurrences"),
         F.col("vec_id").alias("store_ord"))
-    return store.compact(e, capacity=10, thr=0.9).select("template_id", "occurrences")
+    return store.compact(e, capacity=10, thr=0.4).select("template_id", "occurrences")
 
 
 ORACLES["topk_matmul"] = ORACLES["topk_cosine"]
@@ -762,7 +762,21 @@ def q_report_columns(spark, sf):
     return metrics.report_columns(metrics.stream_summary(stream.run_file_stream(spark, on, st)))
 
 
-@query("entropy_monitor")
+@query("entropy_monitor", f"""
+WITH p AS {_SLICE_PRED_SQL},
+r AS (SELECT dataset, substr(md5(pred_template), 1, 8) AS tid,
+             row_number() OVER (PARTITION BY dataset ORDER BY line_id) AS r1 FROM p),
+n AS (SELECT dataset, count(*) AS n FROM p GROUP BY dataset),
+x AS (SELECT dataset, CAST(('0x' || tid) AS BIGINT) % 10000 AS bucket,
+             unnest(generate_series(CAST(ceil(r1 / 100.0) * 100 AS BIGINT), r1 + 499, 100)) AS c FROM r),
+x2 AS (SELECT x.* FROM x JOIN n USING (dataset) WHERE c <= n),
+per AS (SELECT dataset, c, bucket, count(*) AS k FROM x2 GROUP BY ALL),
+tot AS (SELECT dataset, c, sum(k) AS total, count(*) AS nb FROM per GROUP BY ALL),
+ent AS (SELECT per.dataset, per.c, sum(-(k / total) * log2(k / total)) AS h, any_value(total) AS n_window,
+               any_value(nb) AS nb FROM per JOIN tot USING (dataset, c) GROUP BY ALL),
+ne AS (SELECT *, CASE WHEN nb > 1 THEN h / log2(nb) ELSE 0.0 END AS v FROM ent)
+SELECT dataset, c AS checkpoint, n_window, round(v, 6) AS norm_entropy,
+  CASE WHEN n_window < 10 THEN 0 WHEN v > 0.8 THEN 1 WHEN v < 0.3 THEN -1 ELSE 0 END AS step FROM ne""")
 def q_entropy_monitor(spark, sf):
     from ..streaming import monitor
     p = slice_predictions(spark, sf).select("dataset", "line_id", T.template_id("pred_template").alias("template_id"))
@@ -855,3 +869,12 @@ def q_negative_pairs(spark, sf):
 def q_pair_similarity(spark, sf):
     from ..operators import pairs
     return pairs.pair_similarity(pairs.training_pairs(_pair_input(spark, sf)).drop("_k"))
+
+
+@query("embedding_clusters")
+def q_embedding_clusters(spark, sf):
+    """E3 on the provided vectors: groups = label mod 5, two-stage cut search."""
+    e = tables.embedding_vectors(spark, sf).select(
+        F.lit("emb").alias("dataset"), (F.col("label") % 5).cast("string").alias("pkey"),
+        F.col("vec_id").alias("uniq_ord"), "embedding")
+    return C.cluster_lines(e, dist=1.2).select("uniq_ord", "cluster_id", "cut_thr")

@@ -36,8 +36,8 @@ def entropy_checkpoints(matched: DataFrame, interval: int = config.ENTROPY["inte
     ent = j.groupBy("dataset", "c").agg(F.sum(-F.col("p") * F.log2("p")).alias("h"),
                                         F.first("total").alias("n_window"), F.first("distinct").alias("n_buckets"))
     norm = F.when(F.col("n_buckets") > 1, F.col("h") / F.log2("n_buckets")).otherwise(F.lit(0.0))
-    step = (F.when(F.col("n_window") < e["min_entries"], 0).when(F.col("norm_entropy") > e["high"], 1)
-            .when(F.col("norm_entropy") < e["low"], -1).otherwise(0))
-    return (ent.withColumn("norm_entropy", F.round(norm, 6))
-            .select("dataset", F.col("c").alias("checkpoint"), "n_window", "norm_entropy")
-            .withColumn("step", step))
+    step = (F.when(F.col("n_window") < e["min_entries"], 0).when(F.col("_ne") > e["high"], 1)
+            .when(F.col("_ne") < e["low"], -1).otherwise(0))
+    return (ent.withColumn("_ne", norm)
+            .select("dataset", F.col("c").alias("checkpoint"), "n_window",
+                    F.round("_ne", 6).alias("norm_entropy"), step.alias("step")))
