@@ -84,6 +84,24 @@ def broadcast_if_small(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def carried(docs: DataFrame, function, added: str, text_col: str = "text") -> DataFrame:
+    """`docs` with the columns `added` ("name type, ..."), from `function(list of texts as bytes or None)`,
+    which gives an Arrow array for each. All columns go along, so nothing is joined by id."""
+    names = [x.split()[0] for x in added.split(", ")]
+    clear = docs.drop(*names)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                text = part.column(part.schema.get_field_index(text_col))
+                arrays = function(text.cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clear.schema)
+    return clear.mapInArrow(run, f"{schema}, {added}")
+
+
 # ------------------------------------------------------------------ hashing
 
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
@@ -121,10 +139,10 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which words start and end."""
+def word_spans(data: bytes, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which words start and end. between: 1 for the bytes between words."""
     space = np.ones(len(data) + 2, np.int8)
-    space[1:-1] = IS_SPACE[np.frombuffer(data, np.uint8)]
+    space[1:-1] = between[np.frombuffer(data, np.uint8)]
     turn = np.diff(space)
     return np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
 

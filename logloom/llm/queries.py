@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lz_fingerprint, quality_rules, secret_dfa, sp_viterbi, token_files
+from . import lz_fingerprint, ordinal_quality, pii_bootstrap, quality_rules, secret_dfa, soft_mixing, sp_viterbi, token_files
 from .common import table
 
 WORD_TOKENIZER, WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 49_408, 2
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID, WORD_VOCABULARY)[1]
 
@@ -28,11 +32,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_dfa.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_sentencepiece, op5_secret_scan, op9_lz_fingerprint)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ordinal_quality, op3_token_files, op4_sentencepiece, op5_secret_scan, op6_soft_mixing, op9_lz_fingerprint, op10_pii)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _CLOSED = "[" + "".join({"]": r"\]", "'": "''"}.get(c, c) for c in quality_rules.CLOSING) + "]"
