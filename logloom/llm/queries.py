@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk_dedup, lz_fingerprint, ordinal_quality, pii_bootstrap, quality_rules, secret_dfa, soft_mixing, sp_viterbi, token_files
+from . import bottomk_dedup, fm_dedup, lz_fingerprint, ordinal_quality, pii_bootstrap, quality_rules, secret_dfa, soft_mixing, sp_viterbi, token_files
 from .common import table
 
 WORD_TOKENIZER, WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 49_408, 2
@@ -36,6 +36,10 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soft_mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, share=0.8)
 
@@ -48,7 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ordinal_quality, op3_token_files, op4_sentencepiece, op5_secret_scan, op6_soft_mixing, op8_near_duplicates, op9_lz_fingerprint, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ordinal_quality, op3_token_files, op4_sentencepiece, op5_secret_scan, op6_soft_mixing, op7_substring_dedup, op8_near_duplicates, op9_lz_fingerprint, op10_pii)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _CLOSED = "[" + "".join({"]": r"\]", "'": "''"}.get(c, c) for c in quality_rules.CLOSING) + "]"
