@@ -6,10 +6,11 @@ Document rates, all at least 0, are then fitted so that the expected tokens of
 each domain (rate x tokens x posterior, summed) are the target's share of a token
 budget, by projected gradient descent on the squared differences. Steps are
 measured in tokens: a document's rate moves by its posterior times the domains'
-differences, solved against the token-weighted moments of all posteriors, and is
-cut off at 0. A step needs one sum over the posteriors for each domain; rates are
-never collected, as a rate is a function of the posterior and of the few steps so
-far. Rates start at 1, so documents keep their weight where targets allow it.
+differences, solved against the token-weighted moments of the posteriors, and is
+cut off at 0 and at `MOST_RATE` (a domain that hardly occurs is not repeated
+without end). Rates are never collected: a rate is a function of the posterior and
+of the few steps so far. Rates start at 1, so documents keep their weight where
+targets allow it.
 
 A rate of 2.3 means two copies and a third one for 3 documents in 10, by a hash of
 the id. Domains, from the labels: toxic, poor, good.
@@ -18,7 +19,7 @@ The classifier is fitted on at most about `MOST_LABELLED` labelled documents, de
 by a hash of the id; all sums go over all documents. Null texts count as empty and
 have no tokens; null ids are dealt like any id; repeated rows count as often as
 they come. With no token at all, every rate stays 1. Targets that no rates can
-meet (a domain that no document may belong to) are met as nearly as can be.
+meet are met as nearly as the steps get.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import Scratch, carried, texts
 
 DOMAINS = ("toxic", "poor", "good")
 TARGETS = {"toxic": 0.01, "poor": 0.03, "good": 0.96}
-MOST_LABELLED, MOST_STEPS, CLOSE = 20_000, 40, 1e-7
+MOST_LABELLED, MOST_STEPS, MOST_RATE, CLOSE = 20_000, 25, 4.0, 1e-6
 TOKENS, POSTERIOR = "__n_tokens", "__posterior"  # columns that no input is likely to have
 
 
@@ -55,8 +56,8 @@ def loss(s: np.ndarray, y: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndar
     return value, p, p.sum(axis=0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: F.Column | None = None, domains: int = len(DOMAINS), most_labelled: int = MOST_LABELLED):
-    rows = H.sample(docs, labels, domain() if label is None else label, most_labelled)
+def fit(docs: DataFrame, labels: DataFrame, label: F.Column, domains: int, most_labelled: int = MOST_LABELLED):
+    rows = H.sample(docs, labels, label, most_labelled)
     return H.fit(rows, loss, domains, np.zeros(domains))
 
 
@@ -73,35 +74,50 @@ def posteriors(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     return carried(docs, run, f"{TOKENS} long, {POSTERIOR} array<double>", text_col)
 
 
-def rate(steps: list[np.ndarray]) -> F.Column:
-    """A document's rate after `steps`, from its POSTERIOR."""
-    out = F.lit(1.0)
-    for step in steps:
-        move = sum((F.get(POSTERIOR, F.lit(k)) * F.lit(float(x)) for k, x in enumerate(step)), F.lit(0.0))
-        out = F.greatest(F.lit(0.0), out + move)
-    return out
+def rate(steps: list[np.ndarray], most: float = MOST_RATE) -> F.Column:
+    """A document's rate after `steps`, from its POSTERIOR; its size does not grow with the fit."""
+    if not steps:
+        return F.lit(1.0)
+    moved = lambda r, step: r + F.aggregate(F.arrays_zip(F.col(POSTERIOR).alias("p"), step.alias("s")), F.lit(0.0), lambda a, x: a + x["p"] * x["s"])
+    all_steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
+    return F.aggregate(all_steps, F.lit(1.0), lambda r, step: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), moved(r, step))))
 
 
-def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, most_steps: int = MOST_STEPS) -> list[np.ndarray]:
+def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, most: float = MOST_RATE, most_steps: int = MOST_STEPS) -> list[np.ndarray]:
     """Steps after which the domains' expected tokens are `shares` of `budget` (default: the tokens there are).
 
-    members: TOKENS, POSTERIOR. A few numbers for each domain come to the driver."""
+    members: TOKENS, POSTERIOR. A pass sums a few numbers for each domain, all that the driver
+    sees: the domains' tokens at the rates so far, and the moments of documents whose rate can
+    still move, by which the step is measured. A step that brings no gain is halved."""
     k = len(shares)
+    n, r = F.col(TOKENS).cast("double"), F.col("r")
     p = [F.get(POSTERIOR, F.lit(i)) for i in range(k)]
-    n = F.col(TOKENS).cast("double")
-    moments = members.agg(*(F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)), F.sum(n).alias("n")).first()
-    if not moments["n"]:
+    free = F.when((r > 0) & (r < most), n).otherwise(0.0)
+
+    def sums(steps: list[np.ndarray]):
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = members.select(TOKENS, POSTERIOR, rate(steps, most).alias("r")).agg(F.sum(n), *(F.sum(n * p[i] * r) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i, j in pairs)).first()
+        row = [x or 0.0 for x in row]
+        h = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[1 + k :], strict=True):
+            h[i, j] = h[j, i] = x
+        return row[0], np.array(row[1 : 1 + k]), h
+
+    total, now, h = sums([])
+    if not total:
         return []
-    h = np.array([[moments[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    h += np.eye(k) * 1e-9 * np.trace(h)
-    target = np.array(shares) / sum(shares) * (budget or moments["n"])
+    target = np.array(shares) / sum(shares) * (budget or total)
     steps: list[np.ndarray] = []
     for _ in range(most_steps):
-        now = members.agg(*(F.sum(n * p[i] * rate(steps)).alias(f"s{i}") for i in range(k))).first()
-        off = target - np.array([now[f"s{i}"] or 0.0 for i in range(k)])
+        off = target - now
         if np.abs(off).max() <= CLOSE * target.sum():
             break
-        steps.append(np.linalg.solve(h, off))
+        step = np.linalg.solve(h + np.eye(k) * 1e-6 * total, off)
+        then, h_then = sums([*steps, step])[1:]
+        if ((target - then) ** 2).sum() < (off**2).sum():
+            steps, now, h = [*steps, step], then, h_then
+        else:
+            h = 2 * h + np.eye(k) * 1e-3 * total
     return steps
 
 
@@ -111,24 +127,28 @@ def copies(rate_col: F.Column, id_col: str = "doc_id", seed: int = 17) -> F.Colu
     return (F.floor(rate_col) + (unit < rate_col - F.floor(rate_col)).cast("long")).cast("long")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
-    """`doc_id, n_tokens, p_<domain>, rate, copies` for every document."""
+def _fitted(docs: DataFrame, labels: DataFrame, label: F.Column, targets: dict[str, float], budget: float | None, most: float):
+    """The classifier, and the documents' TOKENS and POSTERIOR as a table, and the steps."""
+    model = fit(docs, labels, label, len(targets))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    members = scratch.save(posteriors(texts(docs), model).drop("text"), "members")
+    return model, members, fit_rates(members, list(targets.values()), budget, most)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, label: F.Column | None = None, budget: float | None = None, most: float = MOST_RATE) -> DataFrame:
+    """`doc_id, n_tokens, p_<domain>, rate, copies` for every document.
+
+    targets: the share of each domain, in the order of their numbers; label: the number of a
+    labelled row's domain (default: DOMAINS); most: no document's rate is higher."""
     targets = targets or TARGETS
-    found = posteriors(texts(docs), fit(docs, labels)).drop("text")
-    members = Scratch(docs.sparkSession, "mixing").save(found, "members")
-    steps = fit_rates(members, [targets[d] for d in DOMAINS], budget)
-    out = members.withColumn("rate", rate(steps))
-    return out.select("doc_id", F.col(TOKENS).alias("n_tokens"), *(F.get(POSTERIOR, F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", copies(F.col("rate")).alias("copies"))
+    _, members, steps = _fitted(docs, labels, domain() if label is None else label, targets, budget, most)
+    out = members.withColumn("rate", rate(steps, most))
+    return out.select("doc_id", F.col(TOKENS).alias("n_tokens"), *(F.get(POSTERIOR, F.lit(k)).alias(f"p_{d}") for k, d in enumerate(targets)), "rate", copies(F.col("rate")).alias("copies"))
 
 
-def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, label: F.Column | None = None, budget: float | None = None, most: float = MOST_RATE) -> DataFrame:
     """The rows of `docs`, each as often as its rate says, in the columns of `docs`."""
-    targets = targets or TARGETS
-    model = fit(docs, labels)
-    scratch = Scratch(docs.sparkSession, "mixing")
-    members = scratch.save(posteriors(texts(docs), model).select(TOKENS, POSTERIOR), "members")
-    steps = fit_rates(members, [targets[d] for d in DOMAINS])
-    scratch.drop("members")
-    rows = posteriors(docs, model).withColumn(TOKENS, copies(rate(steps)))
+    model, _, steps = _fitted(docs, labels, domain() if label is None else label, targets or TARGETS, budget, most)
+    rows = posteriors(docs, model).withColumn(TOKENS, copies(rate(steps, most)))
     each = F.explode(F.sequence(F.lit(1), F.col(TOKENS).cast("int"))).alias(TOKENS)
     return rows.where(F.col(TOKENS) > 0).select(*(f"`{c}`" for c in docs.columns), each).drop(TOKENS)
