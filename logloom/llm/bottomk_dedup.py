@@ -92,6 +92,13 @@ def lists(reps: DataFrame, share: float) -> DataFrame:
     return own.select(F.col("s.value").alias("value"), "rep", "n")
 
 
+def one_list_each(members: DataFrame) -> DataFrame:
+    """The lists that have several members; of lists with the same members, one."""
+    same = F.struct(F.count("*").alias("often"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(3))).alias("xor"))
+    told = members.groupBy("value").agg(same.alias("same")).where("same.often > 1")
+    return members.join(told.groupBy("same").agg(F.min("value").alias("value")).select("value"), "value")
+
+
 def alike_sizes(a: str, b: str, share: float) -> Column:
     return F.least(a, b) >= F.lit(share - 1e-9) * F.greatest(a, b)
 
@@ -150,7 +157,7 @@ def _leaders(members: DataFrame, share: float) -> DataFrame:
 def _between(members: DataFrame, reps: DataFrame, share: float, nearest: int | None) -> DataFrame:
     """Pairs between components of one list, by blocks. members: value, rep, n, component."""
     counts = members.groupBy("value", "component").agg(F.count("*").alias("c"))
-    main = counts.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    main = counts.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1 AND `all` > 2")  # of two, one leads the other
     main = main.select("value", F.col("top.component").alias("main"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"))
     rows = members.join(main, "value").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))).alias("place")
@@ -201,21 +208,22 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, words: int, share: float) -> DataFrame:
     """`node, component` of the representatives that link. reps: `rep, n, sketch`; docs: their texts by id."""
-    members = scratch.save(lists(reps, share), "lists")
-    shared = members.groupBy("value").agg(F.count("*").alias("often")).where("often > 1").select("value")
-    members = members.join(shared, "value")
+    members = scratch.save(one_list_each(lists(reps, share)), "lists")
     # Texts of all that share a list: no step pairs anyone else.
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     own = scratch.save(docs.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), "texts")
     tested = scratch.save(ruled_in(_leaders(members, share), reps, share), "pairs-1")
-    linked = scratch.save(verified(tested, own, words, share), "links-1")
-    found = components(linked, scratch, "components-1")
+    found = components(scratch.save(verified(tested, own, words, share), "links-1"), scratch, "components-1")
     for k, nearest in ((2, NEAREST), (3, None)):
         pairs = _between(_with_components(members, found), reps, share, nearest)
         pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{k}")
+        if pairs.isEmpty():
+            continue
         tested = tested.unionByName(pairs)
-        linked = linked.unionByName(scratch.save(verified(pairs, own, words, share), f"links-{k}"))
-        found = components(linked, scratch, f"components-{k}")
+        new = scratch.save(verified(pairs, own, words, share), f"links-{k}")
+        if not new.isEmpty():
+            stars = found.where("node > component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            found = components(stars.unionByName(new), scratch, f"components-{k}")
     return found
 
 
