@@ -18,6 +18,7 @@ from .. import config
 from ..functions import text as T
 from ..functions import vectors as V
 from . import cluster as C
+from ..streaming.learner import greedy_merge
 from . import frame_ops, templates
 
 STORE_COLS = ["dataset", "template_id", "template", "centroid", "occurrences",
@@ -199,28 +200,7 @@ _COMPACT_SCHEMA = ("dataset string, template_id string, occurrences long, centro
 def _greedy_compact(thr: float):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("store_ord", kind="stable").reset_index(drop=True)
-        n = len(pdf)
-        cents = [np.asarray(c, dtype=np.float32) for c in pdf["centroid"]]
-        sim = np.stack(cents) @ np.stack(cents).T  # taken once, before any merge
-        occ = pdf["occurrences"].astype(np.int64).to_numpy().copy()
-        removed = np.zeros(n, dtype=bool)
-        for i in range(n):
-            if removed[i]:
-                continue
-            for j in range(i + 1, n):
-                if removed[j] or sim[i, j] < thr:
-                    continue
-                if occ[i] >= occ[j]:
-                    surv, vic = i, j
-                else:
-                    surv, vic = j, i
-                occ[surv] += occ[vic]
-                alpha = 1.0 / (occ[surv] + 1)
-                u = alpha * cents[vic] + (1 - alpha) * cents[surv]
-                cents[surv] = (u / (np.linalg.norm(u) + 1e-8)).astype(np.float32)
-                removed[vic] = True
-                if vic == i:  # the entry being expanded is gone: stop expanding it
-                    break
+        occ, cents, removed = greedy_merge(np.stack(pdf["centroid"].to_list()), pdf["occurrences"], thr)
         return pd.DataFrame({"dataset": pdf["dataset"], "template_id": pdf["template_id"],
                              "occurrences": occ, "centroid": [c.tolist() for c in cents],
                              "removed": removed})
