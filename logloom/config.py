@@ -81,24 +81,25 @@ CUT_CLAMP = (0.05, 0.99)
 SPLIT_RATIO = 0.70
 ENTROPY = dict(base=0.20, window=500, low=0.30, high=0.80, step=0.01,
                min_t=0.05, max_t=0.55, interval=100, min_entries=10, buckets=10000)
+# The grids of the sweeps.
 ALPHA_GRID = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 TAU_R_GRID = (0.10, 0.30, 0.50, 0.70, 0.90)
 TAU_D_DELTAS = (-0.20, -0.10, 0.00, 0.10, 0.20)
 LCS_THR = 0.5
 
-# Header patterns for lines of an unknown system, tried in this order.
+# Header patterns for lines of an unknown system, tried in this order.
 UNKNOWN_HEADER_PATTERNS = (
     r"^\S+\s+\S+\s+\w+\s+[:\w\.]+:\s*(.*)",
     r"^\S+\s+\S+\s+\w+\s+(.*)",
     r"^\w+/\d+\s+\S+\s+\w+\s+[:\.\w]+\s+(.*)",
 )
-# Generic masks for an unknown system, applied in this order.
+# Generic masks for an unknown system, applied in this order.
 UNKNOWN_MASKS = (
     (r"(\d{1,3}\.){3}\d{1,3}(:\d+)?", "<IP>"),
     (r"\b\d+\b", "<NUM>"),
     (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
 )
-# Timestamped line: `yyyy-MM-dd HH:mm:ss,ms LEVEL logger: message`.
+# Fixed value: timestamped line, `yyyy-MM-dd HH:mm:ss,ms LEVEL logger: message`.
 TIMESTAMPED_LINE = r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2},\d+\s+\w+\s+[\w.$]+:\s*(.*)$"
 
 
