@@ -10,18 +10,22 @@ for a chance below 1e-8), so each sketch is looked up by its rarest values only,
 just as many as must hold a common one: values of widespread passages make no
 lists of unrelated documents. In a list, nobody is paired with everybody:
 
-1. each member is paired with three leaders of the list; pairs whose sketches'
+1. each member is paired with three leaders of the list. Pairs whose sketches'
    union does not rule out the similarity are verified on the full sets, and
-   links joined to components;
-2. where a list still has several components, members outside its main one are
-   held against the others, block by block; each gives its `NEAREST` most alike
-   in any other component, and these pairs are verified;
-3. lists that still have several components give all pairs between components
-   that the sketches do not rule out, and these are verified.
-
-After the third step every pair in different components has been ruled out or
-failed, so no link between components is lost; within a component further links
-change nothing.
+   links joined to components; all such pairs, linked or not, join documents to
+   wider families. Members of a list that are in none of its leaders' families get
+   leaders of their own in a second round;
+2. where a list still has several families, members outside its main one are held
+   against the others' sketches, block by block, until no pair of different
+   families is left that the sketches do not rule out. Every link is then within
+   a family;
+3. where a family has several components, members outside its main one are held
+   against the others on the full sets, block by block, and each gives one link
+   to any other component that it links with.
+
+So no link between components is lost, and within a component further links
+change nothing. Rows are links or pairs that sketches do not rule out, never all
+pairs of a group.
 
 Verification groups pairs by their first document, salted into parts of bounded
 size, and streams the others past it.
@@ -46,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, partitions, rows_of, texts, window_hashes, word_hashes
 from .components import components
 
-KEPT, NEAREST, BLOCK, SIGMAS = 64, 8, 512, 7.0
+KEPT, BLOCK, SIGMAS, COLUMNS_AT_ONCE = 64, 512, 7.0, 4096
 SKETCHED = "doc_id long, n_shingles long, digest binary, sketch array<long>"
 
 
@@ -145,17 +149,22 @@ def verified(pairs: DataFrame, own: DataFrame, words: int, share: float) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _heads(members: DataFrame) -> DataFrame:
+    """`value, head, head_n`: up to three leaders of each list of several."""
+    by = [F.struct("rep", "n"), *(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n") for k in (1, 2))]
+    least = members.groupBy("value").agg(F.count("*").alias("often"), *(F.min(x).alias(f"m{i}") for i, x in enumerate(by))).where("often > 1")
+    heads = F.array(*(F.struct(F.col(f"m{i}.rep").alias("rep"), F.col(f"m{i}.n").alias("n")) for i in range(len(by))))
+    return least.select("value", F.explode(F.array_distinct(heads)).alias("h")).select("value", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n"))
+
+
 def _leaders(members: DataFrame, share: float) -> DataFrame:
     """Pairs of each member with its list's leaders."""
-    by = [F.struct("rep", "n"), F.struct(F.xxhash64("rep", F.lit(1)), "rep", "n"), F.struct(F.xxhash64("rep", F.lit(2)), "rep", "n")]
-    heads = members.groupBy("value").agg(F.count("*").alias("often"), *(F.min(x).alias(f"m{i}") for i, x in enumerate(by))).where("often > 1")
-    heads = heads.select("value", F.explode(F.array(*(F.struct(F.col(f"m{i}.rep").alias("rep"), F.col(f"m{i}.n").alias("n")) for i in range(len(by))))).alias("head")).select("value", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")).distinct()
-    paired = members.join(heads, "value").where((F.col("rep") != F.col("head")) & alike_sizes("n", "head_n", share))
+    paired = members.join(_heads(members), "value").where((F.col("rep") != F.col("head")) & alike_sizes("n", "head_n", share))
     return paired.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
 
 
-def _between(members: DataFrame, reps: DataFrame, share: float, nearest: int | None) -> DataFrame:
-    """Pairs between components of one list, by blocks. members: value, rep, n, component."""
+def _between(members: DataFrame, reps: DataFrame, share: float) -> DataFrame:
+    """Pairs between components of one list that may be alike, by blocks. members: value, rep, n, component."""
     counts = members.groupBy("value", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1 AND `all` > 2")  # of two, one leads the other
     main = main.select("value", F.col("top.component").alias("main"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -185,13 +194,6 @@ def _between(members: DataFrame, reps: DataFrame, share: float, nearest: int | N
             if i != j:
                 enough &= block[x][:, None] != block[None, :]
             rows_, cols = np.nonzero(enough)
-            if nearest is not None and len(rows_):
-                score = shared[rows_, cols]
-                order = np.lexsort((cols, -score, comp[cols], rows_))
-                rows_, cols = rows_[order], cols[order]
-                new = np.r_[True, (rows_[1:] != rows_[:-1]) | (comp[cols][1:] != comp[cols][:-1])]
-                rank = np.arange(len(rows_)) - np.maximum.accumulate(np.where(new, np.arange(len(rows_)), 0))
-                rows_, cols = rows_[rank < nearest], cols[rank < nearest]
             out_a.append(rep[x[rows_]])
             out_b.append(rep[cols])
         a, b = (np.concatenate([np.zeros(0, np.int64), *z]).astype(np.int64) for z in (out_a, out_b))
@@ -200,10 +202,55 @@ def _between(members: DataFrame, reps: DataFrame, share: float, nearest: int | N
     return rows.groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members, with the component that each belongs to so far."""
-    named = found.select(F.col("node").alias("rep"), F.col("component").alias("of"))
-    return members.select("value", "rep", "n").join(named, "rep", "left").select("value", "rep", "n", F.coalesce("of", "rep").alias("component"))
+def _within(families: DataFrame, own: DataFrame, words: int, share: float) -> DataFrame:
+    """Links between components of one family, by blocks, a few for each document.
+
+    families: rep, component, family; own: rep, text."""
+    counts = families.groupBy("family", "component").agg(F.count("*").alias("c"))
+    main = counts.groupBy("family").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1 AND `all` > 2")  # of two, the pair has been verified
+    main = main.select("family", F.col("top.component").alias("main"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = families.join(main, "family").join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    place = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    rows = rows.select("family", "rep", "component", (F.col("component") == F.col("main")).alias("in_main"), "block", "text", F.explode(place).alias("place")).select("*", "place.i", "place.j").drop("place")
+    percent = round(share * 100)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        block, comp, rep = (pdf[c].to_numpy() for c in ("block", "component", "rep"))
+        sets = [shingles((t or "").encode(), words) for t in pdf["text"]]
+        sizes, outer = np.array([len(x) for x in sets]), np.flatnonzero(~pdf["in_main"].to_numpy())
+        values, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(rep)), sizes)
+        number = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[number]  # shingles of one document count for nothing
+        order = np.argsort(number, kind="stable")[int((number < 0).sum()) :]
+        doc, number = doc[order], number[order]
+        shared = np.zeros((len(outer), len(rep)), np.float32)
+        for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS_AT_ONCE):
+            a, b = np.searchsorted(number, (first, first + COLUMNS_AT_ONCE))
+            matrix = np.zeros((len(rep), COLUMNS_AT_ONCE), np.float32)
+            matrix[doc[a:b], number[a:b] - first] = 1
+            shared += matrix[outer] @ matrix.T
+        union = sizes[outer][:, None] + sizes[None, :] - shared
+        linked = (shared > 0) & (100 * shared >= percent * union) & (comp[outer][:, None] != comp[None, :])
+        if i != j:
+            linked &= block[outer][:, None] != block[None, :]
+        x, y = np.nonzero(linked)
+        x = outer[x]
+        _, one = np.unique(np.stack([x, comp[y]]), axis=1, return_index=True)
+        a, b = rep[x[one]].astype(np.int64), rep[y[one]].astype(np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def _named(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """rows, with the group (`node, component`) of each `rep`, itself if it has none."""
+    of = groups.select(F.col("node").alias("rep"), F.col("component").alias("of"))
+    return rows.join(of, "rep", "left").withColumn(name, F.coalesce("of", "rep")).drop("of")
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    return groups.where("node > component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
 def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, words: int, share: float) -> DataFrame:
@@ -213,18 +260,27 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, words: int, share:
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     own = scratch.save(docs.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), "texts")
     tested = scratch.save(ruled_in(_leaders(members, share), reps, share), "pairs-1")
+    families = components(tested, scratch, "families-1")
+    # Members in no leader's family choose again, among themselves.
+    here = _named(members, families, "family")
+    led = _heads(members).select("value", "head").join(_named(members.select("rep").distinct(), families, "family").withColumnsRenamed({"rep": "head"}), "head").select("value", "family").distinct()
+    rest = here.join(led, ["value", "family"], "left_anti").select("value", "rep", "n")
+    more = scratch.save(ruled_in(_leaders(rest, share), reps, share).join(tested, ["a", "b"], "left_anti"), "pairs-2")
+    tested = tested.unionByName(more)
+    k = 2
+    while True:
+        if not more.isEmpty():
+            families = components(_stars(families).unionByName(more), scratch, f"families-{k}")
+        elif k > 2:
+            break
+        k += 1
+        between = _between(_named(members, families, "component"), reps, share).join(tested, ["a", "b"], "left_anti")
+        more = scratch.save(ruled_in(between, reps, share), f"pairs-{k}")
+        tested = tested.unionByName(more)
     found = components(scratch.save(verified(tested, own, words, share), "links-1"), scratch, "components-1")
-    for k, nearest in ((2, NEAREST), (3, None)):
-        pairs = _between(_with_components(members, found), reps, share, nearest)
-        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{k}")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        new = scratch.save(verified(pairs, own, words, share), f"links-{k}")
-        if not new.isEmpty():
-            stars = found.where("node > component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-            found = components(stars.unionByName(new), scratch, f"components-{k}")
-    return found
+    placed = _named(_named(members.select("rep").distinct(), families, "family"), found, "component")
+    new = scratch.save(_within(placed, own, words, share), "links-2")
+    return found if new.isEmpty() else components(_stars(found).unionByName(new), scratch, "components-2")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
