@@ -59,8 +59,8 @@ def test_near_duplicates_are_those_of_all_pairs(spark, seed):
 
 
 def test_lists_with_several_components_are_searched_on(spark, monkeypatch):
-    """With one near partner a step and small blocks, crowds still come together."""
-    monkeypatch.setattr(B, "NEAREST", 1)
+    """With small blocks and few columns at once, crowds still come together."""
+    monkeypatch.setattr(B, "COLUMNS_AT_ONCE", 32)
     monkeypatch.setattr(B, "BLOCK", 8)
     rows = corpus(3)
     assert {r.doc_id: r.component_id for r in B.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=4).collect()} == {d: c for d, (_, c) in near(rows, 4).items()}
