@@ -783,6 +783,21 @@ def q_entropy_monitor(spark, sf):
     return monitor.entropy_checkpoints(p)
 
 
+@query("structural_scores", f"""
+SELECT dataset, line_id, round(a, 6) AS list_score, round(b, 6) AS set_score, round(0.6 * b + 0.4 * a, 6) AS hybrid_score,
+  {S.match_class('a')} AS list_class, {S.match_class('b')} AS set_class
+FROM (SELECT dataset, line_id, {S.structural_score('normalised', 'EventTemplate')} AS a,
+        {S.structural_score('normalised', 'EventTemplate', set_variant=True)} AS b FROM {EV_PP})""")
+def q_structural_scores(spark, sf):
+    """Every line against its true template."""
+    line, tmpl = F.col("normalised"), F.col("EventTemplate")
+    s = events_pp(spark, sf).select("dataset", "line_id", T.structural_score(line, tmpl).alias("a"),
+                                    T.structural_score(line, tmpl, set_variant=True).alias("b"))
+    return s.select("dataset", "line_id", F.round("a", 6).alias("list_score"), F.round("b", 6).alias("set_score"),
+                    F.round(T.hybrid("b", "a", 0.6), 6).alias("hybrid_score"),
+                    T.match_class("a").alias("list_class"), T.match_class("b").alias("set_class"))
+
+
 # ------------------------------------------------------------ baselines, pairs
 
 @query("lcs_parse")
