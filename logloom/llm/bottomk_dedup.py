@@ -258,7 +258,10 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, words: int, share:
     members = scratch.save(one_list_each(lists(reps, share)), "lists")
     # Texts of all that share a list: no step pairs anyone else.
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    own = scratch.save(docs.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    wanted = scratch.save(wanted, "wanted")
+    # Merged at every size: the ids grow with the documents, so they are never broadcast.
+    own = scratch.save(docs.join(wanted.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    reps = scratch.save(reps.join(wanted.withColumnRenamed("doc_id", "rep").hint("merge"), "rep"), "near")
     tested = scratch.save(ruled_in(_leaders(members, share), reps, share), "pairs-1")
     families = components(tested, scratch, "families-1")
     # Members in no leader's family choose again, among themselves.
