@@ -17,8 +17,12 @@ Plan shape
    two-level aggregate over `(group, cut)`; the best cut per group is a
    `max_by` (first cut wins ties).
 
-A component still above `cap` is refused with a clear error rather than being
-collected whole into one task.
+5. A component still above `cap` is clustered by rounds of reciprocal nearest
+   neighbours: block pairs give each cluster its nearest one, pairs that are
+   each other's nearest merge, and the state is checkpointed. No row is cut off.
+
+Equal heights are told apart by a hash of the two clusters' ids in both ways of
+clustering, so `cap` decides where the work is done, not what comes out.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from ..plans import lineage
 
 GROUP = ("dataset", "pkey")
 DEFAULT_CAP = 5000  # 5000^2 float64 distances = 200 MB per task
+DIGITS = 9  # heights that agree so far are equal
 
 
 # ------------------------------------------------------------ numpy kernels
@@ -46,7 +51,26 @@ def pairwise_euclidean(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def nn_chain(x: np.ndarray, linkage: str = "average") -> list[tuple[int, int, float]]:
+def pair_order(a, b) -> np.ndarray:
+    """A hash of two cluster ids, the same both ways round: the order of equal heights."""
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    h = np.minimum(a, b).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(a, b).astype(np.uint64)
+    for mult in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(mult)
+    return (h ^ (h >> np.uint64(31))).astype(np.int64)
+
+
+def nearest(row: np.ndarray, own: int, ids: np.ndarray) -> int:
+    """Place of the least height; of equal ones (to `DIGITS`) the first by `pair_order`."""
+    low = row.min()
+    ties = np.flatnonzero(row <= low + 2 * 10.0 ** -DIGITS)
+    if len(ties) > 1:
+        rounded = np.round(row[ties], DIGITS)
+        ties = ties[rounded == rounded.min()]
+    return int(ties[0] if len(ties) == 1 else ties[np.argmin(pair_order(own, ids[ties]))])
+
+
+def nn_chain(x: np.ndarray, linkage: str = "average", ids: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """All merges `(a, b, height)` of average/complete linkage (Euclidean).
 
     Nearest-neighbour chain (Murtagh 1983; Müllner 2011): O(n^2) time, one
@@ -55,6 +79,7 @@ def nn_chain(x: np.ndarray, linkage: str = "average") -> list[tuple[int, int, fl
     n = len(x)
     if n < 2:
         return []
+    ids = np.arange(n) if ids is None else ids
     d = pairwise_euclidean(x)
     np.fill_diagonal(d, np.inf)
     size = np.ones(n)
@@ -67,13 +92,11 @@ def nn_chain(x: np.ndarray, linkage: str = "average") -> list[tuple[int, int, fl
             chain.append(int(np.flatnonzero(active)[0]))
         a = chain[-1]
         row = d[a]
-        b = int(np.argmin(row))
-        if len(chain) > 1 and row[chain[-2]] <= row[b]:
-            b = chain[-2]
+        b = nearest(row, ids[a], ids)
         if len(chain) > 1 and b == chain[-2]:
             chain.pop()
             chain.pop()
-            h = float(d[a, b])
+            h = float(np.round(d[a, b], DIGITS))
             lo, hi = (a, b) if a < b else (b, a)
             if linkage == "average":
                 new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
@@ -125,22 +148,24 @@ def forest_edges(xa: np.ndarray, xb: np.ndarray | None, eps: float) -> list[tupl
     Indices of `xb` are offset by len(xa). Emitting a forest instead of all
     edges keeps the connectivity and bounds the output by the block sizes."""
     na = len(xa)
-    d = pairwise_euclidean(xa, xb)
-    if xb is None:
-        iu, ju = np.nonzero(np.triu(d < eps, k=1))
-        pairs = zip(iu.tolist(), ju.tolist())
-        total = na
-    else:
-        iu, ju = np.nonzero(d < eps)
-        pairs = zip(iu.tolist(), (ju + na).tolist())
-        total = na + len(xb)
-    parent = np.arange(total)
+    near = pairwise_euclidean(xa, xb) < eps
+    total = na if xb is None else na + len(xb)
+    seen = np.zeros(total, dtype=bool)
     out = []
-    for i, j in pairs:
-        ri, rj = _find(parent, i), _find(parent, j)
-        if ri != rj:
-            parent[max(ri, rj)] = min(ri, rj)
-            out.append((i, j))
+    for start in range(total):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            i = stack.pop()
+            if xb is None:
+                new = np.flatnonzero(near[i] & ~seen)
+            elif i < na:
+                new = np.flatnonzero(near[i] & ~seen[na:]) + na
+            else:
+                new = np.flatnonzero(near[:, i - na] & ~seen[:na])
+            seen[new] = True
+            out.extend((i, int(j)) for j in new)
+            stack.extend(new.tolist())
     return out
 
 
@@ -155,7 +180,7 @@ def _cluster_group_fn(linkage: str, exact_k: bool):
         ords = pdf["uniq_ord"].to_numpy()
         x = np.vstack(pdf["embedding"].to_numpy()) if len(pdf) else np.zeros((0, 1))
         thrs = list(pdf["thrs"].iloc[0])
-        merges = nn_chain(x, linkage)
+        merges = nn_chain(x, linkage, ords)
         rows = []
         gid = pdf["gid"].iloc[0]
         for ci, thr in enumerate(thrs):
@@ -242,6 +267,96 @@ def split_components(big: DataFrame, eps_col: str = "eps", block: int = 1000) ->
     return big.join(comps, ["gid", "uniq_ord"])
 
 
+# ------------------------------------------------------------ rounds of reciprocal nearest neighbours
+
+_NEAREST_SCHEMA = "gid string, cl long, d double, h long, other long"
+
+
+def _by_cluster(pdf: pd.DataFrame):
+    """Vectors ordered by cluster, the cluster ids, where each begins, and the sizes."""
+    cl = pdf["cl"].to_numpy()
+    order = np.argsort(cl, kind="stable")
+    ids, starts, sizes = np.unique(cl[order], return_index=True, return_counts=True)
+    return np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)[order], ids, starts, sizes
+
+
+def linkage_matrix(xa, sa, na, xb, sb, nb, linkage: str, step: int = 256) -> np.ndarray:
+    """Average or complete linkage between clusters given as runs of rows, `step` rows at a time."""
+    fold = np.add if linkage == "average" else np.maximum
+    out = np.zeros((len(sa), len(sb)))
+    owner = np.repeat(np.arange(len(sa)), na)
+    for at in range(0, len(xa), step):
+        rows = fold.reduceat(pairwise_euclidean(xa[at:at + step], xb), sb, axis=1)
+        own, first = np.unique(owner[at:at + step], return_index=True)
+        out[own] = fold(out[own], fold.reduceat(rows, first, axis=0))
+    return out / (na[:, None] * nb[None, :]) if linkage == "average" else out
+
+
+def _nearest_rows(rows: list[tuple]) -> pd.DataFrame:
+    got = pd.DataFrame(rows, columns=["gid", "cl", "d", "other"]).astype({"gid": "str", "cl": "int64", "d": "float64", "other": "int64"})
+    got["d"] = np.round(got["d"], DIGITS)
+    got["h"] = pair_order(got["cl"], got["other"])
+    return got[["gid", "cl", "d", "h", "other"]]
+
+
+def _nearest_fn(linkage: str):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        eps, gid = float(pdf["eps"].iloc[0]), pdf["gid"].iloc[0]
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        same = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
+        if len(a) == 0 or (len(b) == 0 and not same):
+            return _nearest_rows([])
+        xa, ia, sa, na = _by_cluster(a)
+        xb, ib, sb, nb = (xa, ia, sa, na) if same else _by_cluster(b)
+        d = linkage_matrix(xa, sa, na, xb, sb, nb, linkage)
+        if same:
+            d = np.minimum(d, d.T)  # one value for both ways round
+            np.fill_diagonal(d, np.inf)
+        out = []
+        for m, own, others in ((d, ia, ib),) if same else ((d, ia, ib), (d.T, ib, ia)):
+            for i in np.flatnonzero(m.min(axis=1) < eps):
+                j = nearest(m[i], own[i], others)
+                out.append((gid, own[i], m[i, j], others[j]))
+        return _nearest_rows(out)
+    return fn
+
+
+def linkage_rounds(lines: DataFrame, linkage: str, block: int = 4000) -> DataFrame:
+    """Average or complete linkage of groups of any size, up to their largest cut:
+    `(gid, uniq_ord, embedding, thrs)` -> `_CUT_SCHEMA`.
+
+    A pair of reciprocal nearest neighbours merges whatever else does (both
+    linkages are reducible), so a round merges all of them; heights only grow, so
+    a merge below a cut joins two clusters that are whole at that cut. A round
+    compares all lines of a group, `block` lines or one larger cluster against as
+    many in a task, and holds one vector for each line and round on storage."""
+    state = lineage.cut(lines.select("gid", "uniq_ord", "embedding", "thrs", F.col("uniq_ord").alias("cl"),
+                                     F.transform("thrs", lambda t: F.col("uniq_ord")).alias("labels")))
+    blocks = F.broadcast(state.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb")))
+    while True:
+        t = state.join(blocks, "gid").withColumn("blk", F.pmod(F.xxhash64("cl"), F.col("nb")).cast("int"))
+        t = t.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        t = t.select("gid", "cl", "embedding", F.array_max("thrs").alias("eps"), F.least("blk", "to").alias("bi"),
+                     F.greatest("blk", "to").alias("bj"), F.when(F.col("blk") <= F.col("to"), 0).otherwise(1).alias("side"))
+        best = t.groupBy("gid", "bi", "bj").applyInPandas(_nearest_fn(linkage), _NEAREST_SCHEMA) \
+            .groupBy("gid", "cl").agg(F.min(F.struct("d", "h", "other")).alias("m")).select("gid", "cl", "m.d", "m.other")
+        best = lineage.cut(best)
+        if best.limit(1).count() == 0:
+            break
+        back = best.select("gid", F.col("cl").alias("other"), F.col("other").alias("cl"))
+        pairs = lineage.cut(best.join(back, ["gid", "cl", "other"])
+                            .select("gid", "cl", F.least("cl", "other").alias("to"), "d"))
+        if pairs.limit(1).count() == 0:
+            raise RuntimeError("no reciprocal nearest neighbours: two pairs of clusters have the same hash")
+        joined = state.join(pairs, ["gid", "cl"], "left")
+        lower = F.zip_with("labels", "thrs", lambda x, t: F.when(F.col("d") < t, F.col("to")).otherwise(x))
+        state = lineage.cut(joined.select("gid", "uniq_ord", "embedding", "thrs", F.coalesce("to", "cl").alias("cl"),
+                                          lower.alias("labels")))
+    each = F.posexplode(F.arrays_zip("thrs", "labels")).alias("cut", "c")
+    return state.select("gid", "uniq_ord", each).select(
+        "gid", "uniq_ord", "cut", F.col("c.thrs").alias("thr"), F.col("c.labels").alias("label"))
+
+
 # ------------------------------------------------------------ thresholds
 
 def _clamp(c):
@@ -266,7 +381,7 @@ def thresholds(method: str, dist: F.Column) -> F.Column:
 
 def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score: str = "default",
                   linkage: str = "average", cap: int = DEFAULT_CAP, group_cols=GROUP,
-                  n_clusters: int | None = None, block: int = 1000, approx: bool = False) -> DataFrame:
+                  n_clusters: int | None = None, block: int = 1000) -> DataFrame:
     """Cluster distinct lines within groups and pick the best cut per group.
 
     `lines`: `(dataset, [pkey], uniq_ord, embedding[, freq])`. `dist` is a
@@ -309,19 +424,14 @@ def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score:
         big = big.withColumn("eps", F.array_max("thrs"))
         comps = split_components(big, block=block)
         csize = comps.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("c_n"))
-        over = csize.where(F.col("c_n") > cap).limit(1).count()
-        if over and not approx:
-            raise RuntimeError(f"a connected component exceeds cap={cap} lines; raise cap, lower the "
-                               "distance threshold, or pass approx=True")
-        comps = comps.join(csize, ["gid", "comp"]).withColumn("chunk", F.lit(0).cast("long"))
-        if over:
-            comps = approx_chunks(comps, cap)
-        comp_in = comps.withColumn("gid2", F.concat_ws("\u0002", "gid", F.col("comp").cast("string"),
-                                                       F.col("chunk").cast("string")))
-        part = comp_in.select(F.col("gid2").alias("gid"), "uniq_ord", "embedding", "thrs") \
-            .groupBy("gid").applyInPandas(fn, _CUT_SCHEMA) \
-            .withColumn("gid", F.substring_index("gid", "\u0002", 1))
-        cuts = cuts.unionByName(part)
+        comp_in = lineage.cut(comps.join(csize, ["gid", "comp"])
+                              .withColumn("gid2", F.concat_ws("\u0002", "gid", F.col("comp").cast("string")))
+                              .select(F.col("gid2").alias("gid"), "uniq_ord", "embedding", "thrs", "c_n"))
+        part = comp_in.where(F.col("c_n") <= cap).drop("c_n").groupBy("gid").applyInPandas(fn, _CUT_SCHEMA)
+        over = comp_in.where(F.col("c_n") > cap).drop("c_n")
+        if over.limit(1).count() > 0:
+            part = part.unionByName(linkage_rounds(over, linkage))
+        cuts = cuts.unionByName(part.withColumn("gid", F.substring_index("gid", "\u0002", 1)))
     elif exact_k and big.limit(1).count() > 0:
         raise RuntimeError(f"exact-k clustering of a data set above cap={cap} distinct lines is not supported")
 
@@ -332,23 +442,6 @@ def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score:
         .drop("gid", "thrs", "_dist", "g_n", "g_freq", "label")
 
 
-def approx_chunks(comps: DataFrame, cap: int) -> DataFrame:
-    """E10 approximate tail: a component above `cap` is cut into chunks of at
-    most `cap` lines that are contiguous along a fixed random projection
-    (nearby lines stay together), each clustered exactly. Only those lines
-    are affected; none is dropped. The projection direction is a fixed
-    pseudo-random function of the coordinate index."""
-    proj = F.aggregate(
-        F.transform("embedding", lambda x, i: x.cast("double") *
-                    ((F.pmod(i.cast("long") * 2654435761, F.lit(1000)) / 1000.0) - 0.5)),
-        F.lit(0.0).cast("double"), lambda a, x: a + x)
-    big = comps.where(F.col("c_n") > cap).withColumn("_proj", proj).withColumn("_key", F.concat_ws("/", "gid", F.col("comp").cast("string")))
-    from .frame_ops import positional_index
-    idx = positional_index(big, keys=("_key",), order_col="_proj", name="_pos")
-    idx = idx.withColumn("chunk", F.floor(F.col("_pos") / F.lit(cap)).cast("long")).drop("_proj", "_key", "_pos")
-    return comps.where(F.col("c_n") <= cap).unionByName(idx)
-
-
 def cut_scores(cuts: DataFrame, lines: DataFrame, score: str = "default") -> DataFrame:
     """E4/E5 per (group, cut): `log1p(k) - 2*singleton share - 5*largest share`
     (- 3 * frequency share of singleton clusters), -1000 if largest > 60%."""

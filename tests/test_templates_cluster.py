@@ -2,7 +2,7 @@ import itertools
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from logloom.operators import cluster as C
 from logloom.operators import templates
@@ -82,3 +82,24 @@ def test_component_split_equals_whole_group(spark):
             g.setdefault(r["cluster_id"], set()).add(r["uniq_ord"])
         return sorted(sorted(v) for v in g.values())
     assert parts(whole) == parts(split)
+
+
+def test_component_above_cap_is_clustered_whole(spark):
+    # one chain of 12 equal distances: the order of equal heights matters, too
+    rows = [("d", "k", i, [i / 10]) for i in range(12)]
+    df = spark.createDataFrame(rows, "dataset string, pkey string, uniq_ord long, embedding array<double>")
+    whole, rounds = ({r["uniq_ord"]: (r["cluster_id"], r["cut_thr"]) for r in
+                      C.cluster_lines(df, dist=0.3, cap=cap).collect()} for cap in (1000, 4))
+    assert len(rounds) == 12 and rounds == whole
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_linkage_rounds_equal_nn_chain(spark, linkage):
+    # many equal distances, since coordinates are multiples of 0.1
+    pts = np.unique(np.random.default_rng(7).integers(0, 4, size=(40, 3)), axis=0) / 10
+    thrs = (0.11, 0.15, 0.2)
+    df = spark.createDataFrame([("g", i, [float(v) for v in p], list(thrs)) for i, p in enumerate(pts)],
+                               "gid string, uniq_ord long, embedding array<double>, thrs array<double>")
+    got = {(r["cut"], r["uniq_ord"]): r["label"] for r in C.linkage_rounds(df, linkage, block=20).collect()}
+    merges = C.nn_chain(pts, linkage)
+    assert got == {(c, i): int(x) for c, t in enumerate(thrs) for i, x in enumerate(C.cut_labels(len(pts), merges, threshold=t))}
