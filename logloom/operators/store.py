@@ -150,15 +150,17 @@ def upsert(store: DataFrame, delta: DataFrame, as_of=None) -> DataFrame:
 
     Same id -> occurrences += count, last_seen refreshed, centroid blended with
     alpha = 1/(occurrences + 1) (after the increment); else a new row. Several
-    delta rows for one id fold in `line_id` order.
+    delta rows for one id fold in `line_id` order. Counts and first rows are plain
+    aggregates; only the centroid, whose steps depend on their order, gathers a
+    template's delta rows, and only where it is asked for.
     """
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     d = delta.withColumn("template_id", T.template_id("template"))
+    row = F.struct("line_id", F.col("count").alias("cnt"), F.col("centroid").alias("vector"), "template", "source")
     g = d.groupBy("dataset", "template_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_id", F.col("count").alias("cnt"), F.col("centroid").alias("vector"),
-                                             "template", "source"))).alias("_d"))
+        F.sum("count").alias("_n"), F.min(row).alias("_first"), F.array_sort(F.collect_list(row)).alias("_d"))
     j = store.join(g, ["dataset", "template_id"], "full_outer")
-    first = F.element_at("_d", 1)
+    first = F.col("_first")
     # a new id starts from its first delta row, the rest fold in
     o0 = F.when(F.col("template").isNull(), first["cnt"].cast("double")).otherwise(F.col("occurrences").cast("double"))
     c0 = F.when(F.col("template").isNull(), first["vector"]).otherwise(F.col("centroid"))
@@ -175,9 +177,9 @@ def upsert(store: DataFrame, delta: DataFrame, as_of=None) -> DataFrame:
         "dataset", "template_id",
         F.coalesce("template", first["template"]).alias("template"),
         F.transform("_f.c", lambda x: x.cast("float")).alias("centroid"),
-        F.col("_f.o").cast("long").alias("occurrences"),
+        (F.coalesce("occurrences", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("occurrences"),
         F.coalesce("first_seen", now).alias("first_seen"),
-        F.when(F.col("_d").isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.when(first.isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"),
         F.coalesce("source", first["source"]).alias("source"),
         F.coalesce("store_ord", F.lit(max_ord) + first["line_id"]).alias("store_ord"))
 

@@ -492,7 +492,7 @@ def q_store_hits(spark, sf):
 def q_store_upsert(spark, sf):
     st = label_store(spark, sf)
     e = tables.embedding_vectors(spark, sf)
-    delta = e.where(F.col("vec_id") % 2 == 0).select(
+    delta = e.select(
         F.lit("emb").alias("dataset"),
         F.concat(F.lit("cluster "), (F.col("label") + F.col("vec_id") % 3).cast("string"), F.lit(" <*>")).alias("template"),
         F.col("embedding").alias("centroid"), F.lit(1).alias("count"), F.lit("online").alias("source"),
