@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_AT_ONCE = 256
@@ -84,6 +84,15 @@ def broadcast_if_small(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def range_of(key: Column, cuts: list[Column]) -> Column:
+    """How many of the literals `cuts` (ascending) are not above `key`: a binary search, one expression at any number of cuts."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*cuts)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
+
+
 def carried(docs: DataFrame, function, added: str, text_col: str = "text") -> DataFrame:
     """`docs` with the columns `added` ("name type, ..."), from `function(list of texts as bytes or None)`,
     which gives an Arrow array for each. All columns go along, so nothing is joined by id."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bottomk_dedup, fm_dedup, lz_fingerprint, ordinal_quality, pii_bootstrap, quality_rules, secret_dfa, soft_mixing, sp_viterbi, token_files
+from . import bottomk_dedup, cover_negatives, fm_dedup, lexical_search, lz_fingerprint, ordinal_quality, pii_bootstrap, quality_rules, secret_dfa, soft_mixing, sp_viterbi, token_files, warc_files
 from .common import table
 
 WORD_TOKENIZER, WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 49_408, 2
@@ -52,7 +53,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ordinal_quality, op3_token_files, op4_sentencepiece, op5_secret_scan, op6_soft_mixing, op7_substring_dedup, op8_near_duplicates, op9_lz_fingerprint, op10_pii)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_files.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ordinal_quality, op3_token_files, op4_sentencepiece, op5_secret_scan, op6_soft_mixing, op7_substring_dedup, op8_near_duplicates, op9_lz_fingerprint, op10_pii, op11_hard_negatives, op12_warc, op13_lexical_search)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _CLOSED = "[" + "".join({"]": r"\]", "'": "''"}.get(c, c) for c in quality_rules.CLOSING) + "]"
@@ -100,4 +114,24 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN comp USING (doc_id) LEFT JOIN size USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (SELECT a.id AS anchor_id, a.label AS own, b.id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pair WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN pair USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
+    "op12_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM t""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, x, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS x FROM d) GROUP BY r, doc_id, x),
+df AS (SELECT x, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY x, n_all),
+q AS (SELECT item_id, x, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM benchmark) GROUP BY ALL),
+score AS (SELECT item_id, r, doc_id, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all)))) AS BIGINT) AS score FROM q JOIN tf USING (x) JOIN df USING (x), s GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0 QUALIFY rank <= 20""",
 }
