@@ -16,16 +16,16 @@ lists of unrelated documents. In a list, nobody is paired with everybody:
    wider families. Members of a list that are in none of its leaders' families get
    leaders of their own in a second round;
 2. where a list still has several families, members outside its main one are held
-   against the others' sketches, block by block, until no pair of different
-   families is left that the sketches do not rule out. Every link is then within
-   a family;
+   against the others' sketches, block by block. Pairs that the sketches do not rule
+   out join their families at once, inside the block, and a block gives back just the
+   pairs that joined two (a spanning forest of its families). Every link is then
+   within a family;
 3. where a family has several components, members outside its main one are held
-   against the others on the full sets, block by block, and each gives one link
-   to any other component that it links with.
+   against the others on the full sets, block by block, in the same way.
 
 So no link between components is lost, and within a component further links
-change nothing. Rows are links or pairs that sketches do not rule out, never all
-pairs of a group.
+change nothing. A block gives fewer rows than it has families or components, never
+all pairs of a group.
 
 Verification groups pairs by their first document, salted into parts of bounded
 size, and streams the others past it.
@@ -47,10 +47,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, partitions, rows_of, texts, window_hashes, word_hashes
+from .common import U64, Scratch, free_names, partitions, rows_of, texts, window_hashes, word_hashes
 from .components import components
 
-KEPT, BLOCK, SIGMAS, COLUMNS_AT_ONCE = 64, 512, 7.0, 4096
+KEPT, BLOCK, BLOCK_WEIGHT, SIGMAS, COLUMNS_AT_ONCE, PAIRS_AT_ONCE = 64, 512, 2_000_000, 7.0, 4096, 4096
+NOTHING = np.uint64((1 << 64) - 1)
 SKETCHED = "doc_id long, n_shingles long, digest binary, sketch array<long>"
 
 
@@ -163,26 +164,72 @@ def _leaders(members: DataFrame, share: float) -> DataFrame:
     return paired.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
 
 
+class Joined:
+    """Groups that join inside a block, and the pairs that joined two of them."""
+
+    def __init__(self, group: np.ndarray):
+        self.names, self.of = np.unique(group, return_inverse=True)
+        self.root = np.arange(len(self.names))
+        self.pairs: list[tuple[int, int]] = []
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.root[self.of[x]] != self.root[self.of[y]]
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = self.root[self.of[i]], self.root[self.of[j]]
+            if a != b:
+                self.root[self.root == a] = b
+                self.pairs.append((i, j))
+
+    def links(self, rep: np.ndarray) -> pd.DataFrame:
+        a, b = (np.array([rep[p[k]] for p in self.pairs], np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def may_link(sketches_: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Which pairs the sketch of their union does not rule out. sketches_: a row for each set, ascending, followed by the greatest value."""
+    both = np.sort(np.concatenate([sketches_[x], sketches_[y]], axis=1), axis=1)
+    real = both != NOTHING
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, axis=1)
+    whole = (n[x] <= KEPT) & (n[y] <= KEPT)
+    shared = (again & (rank <= np.where(whole, 2 * KEPT, KEPT)[:, None])).sum(axis=1)
+    k = np.where(whole, rank[:, -1], np.minimum(rank[:, -1], KEPT))
+    return shared >= np.where(whole, np.maximum(1, k * share - 1e-9), np.floor(k * share - SIGMAS * np.sqrt(k * share * (1 - share))))
+
+
+def _blocks(rows: DataFrame, group: str, part: str, weight: Column) -> DataFrame:
+    """rows, each in all pairs of blocks (i, j) of its `group` that have its own, where the group has several parts.
+
+    Blocks hold about `BLOCK` rows, and about `BLOCK_WEIGHT` of `weight`."""
+    counts = rows.groupBy(group, part).agg(F.count("*").alias("c"), F.sum(weight).alias("w"))
+    top = F.max(F.struct(F.col("c"), F.col(part).alias("part")))
+    several = counts.groupBy(group).agg(top.alias("top"), F.sum("c").alias("all"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1 AND `all` > 2")  # of two, the pair has been judged
+    blocks = F.ceil(F.greatest(F.col("all") / F.lit(BLOCK), F.col("w") / F.lit(BLOCK_WEIGHT))).cast("int")
+    several = several.select(group, F.col("top.part").alias("main"), F.least(blocks, F.col("all").cast("int")).alias("blocks"))
+    rows = rows.join(several, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    place = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    return rows.withColumn("in_main", F.col(part) == F.col("main")).withColumn("place", F.explode(place)).select("*", "place.i", "place.j").drop("place", "main", "blocks")
+
+
 def _between(members: DataFrame, reps: DataFrame, share: float) -> DataFrame:
-    """Pairs between components of one list that may be alike, by blocks. members: value, rep, n, component."""
-    counts = members.groupBy("value", "component").agg(F.count("*").alias("c"))
-    main = counts.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1 AND `all` > 2")  # of two, one leads the other
-    main = main.select("value", F.col("top.component").alias("main"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = members.join(main, "value").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))).alias("place")
-    rows = rows.select("value", "rep", "n", "component", (F.col("component") == F.col("main")).alias("in_main"), "block", other).select("*", "place.i", "place.j").drop("place")
-    rows = rows.join(reps.select("rep", "sketch"), "rep")
+    """Pairs that join the families of one list, by blocks. members: value, rep, n, family."""
+    rows = _blocks(members, "value", "family", F.lit(1)).join(reps.select("rep", "sketch"), "rep")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        block, comp, n, rep = (pdf[c].to_numpy() for c in ("block", "component", "n", "rep"))
-        sketch = [np.asarray(s) for s in pdf["sketch"]]
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        block, n, rep = (pdf[c].to_numpy() for c in ("block", "n", "rep"))
+        joined = Joined(pdf["family"].to_numpy())
+        sketch = [np.asarray(s).view(np.uint64) for s in pdf["sketch"]]
         sizes = np.array([len(s) for s in sketch])
-        values, number, often = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
-        matrix = np.zeros((len(rep), len(values)), np.float32)
-        matrix[np.repeat(np.arange(len(rep)), sizes), number] = 1
-        matrix = matrix[:, often > 1]
-        out_a, out_b = [], []
+        padded = np.full((len(rep), KEPT), NOTHING)
+        padded[np.arange(KEPT) < sizes[:, None]] = np.concatenate(sketch)
+        _, number, often = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
+        column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[number]
+        matrix = np.zeros((len(rep), int((often > 1).sum())), np.float32)
+        matrix[np.repeat(np.arange(len(rep)), sizes)[column >= 0], column[column >= 0]] = 1
         outer = np.flatnonzero(~pdf["in_main"].to_numpy())
         for at in range(0, len(outer), 128):
             x = outer[at : at + 128]
@@ -190,33 +237,33 @@ def _between(members: DataFrame, reps: DataFrame, share: float) -> DataFrame:
             k = np.minimum(sizes[x][:, None], sizes[None, :])
             enough = shared >= np.maximum(1, np.floor(k * share - SIGMAS * np.sqrt(k * share * (1 - share))))
             low, high = np.minimum(n[x][:, None], n[None, :]), np.maximum(n[x][:, None], n[None, :])
-            enough &= (comp[x][:, None] != comp[None, :]) & (low >= (share - 1e-9) * high)
-            if i != j:
+            enough &= low >= (share - 1e-9) * high
+            if across:
                 enough &= block[x][:, None] != block[None, :]
-            rows_, cols = np.nonzero(enough)
-            out_a.append(rep[x[rows_]])
-            out_b.append(rep[cols])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *z]).astype(np.int64) for z in (out_a, out_b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            i, j = np.nonzero(enough)
+            i = x[i]
+            while len(i):
+                left = joined.apart(i, j)
+                i, j = i[left], j[left]
+                ok = may_link(padded, n, i[:PAIRS_AT_ONCE], j[:PAIRS_AT_ONCE], share)
+                joined.join(i[:PAIRS_AT_ONCE][ok], j[:PAIRS_AT_ONCE][ok])
+                i, j = i[PAIRS_AT_ONCE:], j[PAIRS_AT_ONCE:]
+        return joined.links(rep)
 
     return rows.groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def _within(families: DataFrame, own: DataFrame, words: int, share: float) -> DataFrame:
-    """Links between components of one family, by blocks, a few for each document.
+    """Links that join the components of one family, by blocks.
 
-    families: rep, component, family; own: rep, text."""
-    counts = families.groupBy("family", "component").agg(F.count("*").alias("c"))
-    main = counts.groupBy("family").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1 AND `all` > 2")  # of two, the pair has been verified
-    main = main.select("family", F.col("top.component").alias("main"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = families.join(main, "family").join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    place = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    rows = rows.select("family", "rep", "component", (F.col("component") == F.col("main")).alias("in_main"), "block", "text", F.explode(place).alias("place")).select("*", "place.i", "place.j").drop("place")
+    families: rep, n, component, family; own: rep, text."""
+    rows = _blocks(families, "family", "component", F.col("n")).join(own, "rep").select("family", "rep", "component", "in_main", "block", "text", "i", "j")
     percent = round(share * 100)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        block, comp, rep = (pdf[c].to_numpy() for c in ("block", "component", "rep"))
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        block, rep = (pdf[c].to_numpy() for c in ("block", "rep"))
+        joined = Joined(pdf["component"].to_numpy())
         sets = [shingles((t or "").encode(), words) for t in pdf["text"]]
         sizes, outer = np.array([len(x) for x in sets]), np.flatnonzero(~pdf["in_main"].to_numpy())
         values, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -231,14 +278,14 @@ def _within(families: DataFrame, own: DataFrame, words: int, share: float) -> Da
             matrix[doc[a:b], number[a:b] - first] = 1
             shared += matrix[outer] @ matrix.T
         union = sizes[outer][:, None] + sizes[None, :] - shared
-        linked = (shared > 0) & (100 * shared >= percent * union) & (comp[outer][:, None] != comp[None, :])
-        if i != j:
+        linked = (shared > 0) & (100 * shared >= percent * union)
+        if across:
             linked &= block[outer][:, None] != block[None, :]
         x, y = np.nonzero(linked)
         x = outer[x]
-        _, one = np.unique(np.stack([x, comp[y]]), axis=1, return_index=True)
-        a, b = rep[x[one]].astype(np.int64), rep[y[one]].astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        left = joined.apart(x, y)
+        joined.join(x[left], y[left])
+        return joined.links(rep)
 
     return rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -265,23 +312,18 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, words: int, share:
     tested = scratch.save(ruled_in(_leaders(members, share), reps, share), "pairs-1")
     families = components(tested, scratch, "families-1")
     # Members in no leader's family choose again, among themselves.
-    here = _named(members, families, "family")
-    led = _heads(members).select("value", "head").join(_named(members.select("rep").distinct(), families, "family").withColumnsRenamed({"rep": "head"}), "head").select("value", "family").distinct()
+    here = scratch.save(_named(members, families, "family"), "here-1")
+    led = _heads(members).select("value", "head").join(here.select("value", F.col("rep").alias("head"), "family"), ["value", "head"]).select("value", "family").distinct()
     rest = here.join(led, ["value", "family"], "left_anti").select("value", "rep", "n")
     more = scratch.save(ruled_in(_leaders(rest, share), reps, share).join(tested, ["a", "b"], "left_anti"), "pairs-2")
-    tested = tested.unionByName(more)
-    k = 2
-    while True:
-        if not more.isEmpty():
-            families = components(_stars(families).unionByName(more), scratch, f"families-{k}")
-        elif k > 2:
-            break
-        k += 1
-        between = _between(_named(members, families, "component"), reps, share).join(tested, ["a", "b"], "left_anti")
-        more = scratch.save(ruled_in(between, reps, share), f"pairs-{k}")
-        tested = tested.unionByName(more)
-    found = components(scratch.save(verified(tested, own, words, share), "links-1"), scratch, "components-1")
-    placed = _named(_named(members.select("rep").distinct(), families, "family"), found, "component")
+    if not more.isEmpty():
+        families = components(_stars(families).unionByName(more), scratch, "families-2")
+        here = scratch.save(_named(members, families, "family"), "here-2")
+    between = scratch.save(_between(here, reps, share), "pairs-3")
+    if not between.isEmpty():
+        families = components(_stars(families).unionByName(between), scratch, "families-3")
+    found = components(scratch.save(verified(tested.unionByName(more).unionByName(between), own, words, share), "links-1"), scratch, "components-1")
+    placed = scratch.save(_named(_named(reps.select("rep", "n"), families, "family"), found, "component"), "placed")
     new = scratch.save(_within(placed, own, words, share), "links-2")
     return found if new.isEmpty() else components(_stars(found).unionByName(new), scratch, "components-2")
 
@@ -307,7 +349,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: float = 0.8, id_col:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps; of rows that repeat an id, all."""
+    """One row of `docs` for each component: that of the least id. Where ids are null or repeated, a row counts as
+    its id and text together: different texts are documents of their own, and of equal rows one stays."""
     scratch = Scratch(docs.sparkSession, "bottomk-kept")
-    gone = scratch.save(near_duplicates(docs, words, share).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    key, odd = free_names(docs, "key", "odd")
+    own = F.col("doc_id").cast("long")
+    often = scratch.save(docs.groupBy(own.alias(key)).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).select(key), "repeated")
+    if often.isEmpty():
+        rows = docs.withColumn(key, own).withColumn(odd, F.lit(False))
+    else:
+        there = often.withColumn(odd, F.lit(True))
+        rows = docs.join(there, own.eqNullSafe(F.col(key)), "left").withColumn(odd, F.coalesce(odd, F.lit(False)))
+        rows = scratch.save(rows.withColumn(key, F.when(F.col(odd), F.xxhash64(own, F.col("text").cast("string"))).otherwise(own)), "keyed")
+    gone = near_duplicates(rows, words, share, id_col=key).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    left = rows.join(scratch.save(gone, "gone"), key, "left_anti")
+    if not often.isEmpty():
+        left = left.where(~F.col(odd)).unionByName(left.where(odd).dropDuplicates([key]))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

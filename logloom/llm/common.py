@@ -40,13 +40,21 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a fresh one where it is unset (tests)."""
+    """The folder of `spark.checkpoint.dir`. Where it is unset, a fresh one if all runs on this machine (tests); a cluster must name one."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         d = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+    return on_default_file_system(spark, d.rstrip("/"))
+
+
+def on_default_file_system(spark: SparkSession, folder: str) -> str:
+    """The folder's full URI; one without a scheme is on Spark's default file system, as for Spark's own readers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return folder if "://" in folder else path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1).replace("file:////", "file:///", 1)
 
 
 class Scratch:
@@ -84,6 +92,18 @@ def broadcast_if_small(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def range_of(key: Column, cuts: list[Column]) -> Column:
     """How many of the literals `cuts` (ascending) are not above `key`: a binary search, one expression at any number of cuts."""
     if not cuts:
@@ -140,14 +160,22 @@ class Powers:
 BYTE_POWERS, WORD_POWERS, SECOND_POWERS = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(0xAEF17502108EF2D9)
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A hash of each `values[start:end]`, from prefix sums; equal contents, equal hashes."""
-    up, down = powers(len(values) + 1)
+def prefix_sums(values: np.ndarray, powers: Powers) -> np.ndarray:
     sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[:-1], out=sums[1:])
+    np.cumsum(values * powers(len(values) + 1)[0][:-1], out=sums[1:])
+    return sums
+
+
+def hashes_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """A hash of each `values[start:end]`, from their `prefix_sums`; equal contents, equal hashes."""
+    down = powers(len(sums))[1]
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    return hashes_between(prefix_sums(values, powers), starts, ends, powers)
+
+
 def word_spans(data: bytes, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which words start and end. between: 1 for the bytes between words."""
     space = np.ones(len(data) + 2, np.int8)

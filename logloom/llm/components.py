@@ -10,7 +10,7 @@ folder; rounds end when links stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -35,13 +35,16 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """`node, component` of every node with a link; links: `a < b`."""
-    now, before, k = scratch.save(links.select("a", "b").distinct(), f"{name}-0"), None, 0
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
+    def saved(links: DataFrame, k: int) -> tuple[DataFrame, dict]:
+        """The links as a table, and their number and sum of hashes, taken as they are written."""
+        state = Observation()
+        table = scratch.save(links.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), f"{name}-{k}")
+        return table, state.get
+
+    (now, state), before, k = saved(links.select("a", "b").distinct(), 0), None, 0
+    while state != before:
         before, k = state, k + 1
-        now = scratch.save(_small_star(_large_star(now)), f"{name}-{k}")
+        now, state = saved(_small_star(_large_star(now)), k)
         scratch.drop(f"{name}-{k - 1}")
     heads = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(heads)

@@ -1,10 +1,12 @@
 """op7 and op8 against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from texts import SCHEMA, corpus, words
 
 from logloom.llm import bottomk_dedup as B
@@ -127,3 +129,44 @@ def test_equal_windows_have_equal_anchors():
     grams = S.window_hashes(w, S.GRAM)
     assert S.anchors(w).tolist() == [grams[i : i + S.WINDOW - S.GRAM + 1].min() for i in range(251)]
     assert len(S.anchors(w[:49])) == 0
+
+
+def test_one_of_each_under_null_and_repeated_ids(spark):
+    text = "one two three four five six seven eight"
+    rows = [(None, text, "a")] * 3 + [(7, text, "b")] * 3 + [(8, "other words here that stand alone", "c"), (None, None, "d"), (None, None, "d"), (9, "first of two texts under one id", "e"), (9, "second text of the very same id", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumn("key", F.lit(1)).withColumn("odd", F.lit(2))
+    out = B.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((str(r.doc_id), r.text) for r in out.collect()), key=repr)
+    assert sum(t == text for _, t in got) == 1 and ("None", None) in got and len(got) == 5, got
+
+
+def test_crowds_of_unlinked_families_give_few_rows(spark):
+    """A crowd whose members share half of their words: sketches leave pairs open, and blocks give a forest of them, no more."""
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(w if rnd.random() < 0.97 else f"x{rnd.randrange(10**6)}" for w in base)) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    between, within = B._between, B._within
+    try:
+        B._between = lambda *a: seen.append(between(*a).count()) or between(*a)
+        B._within = lambda *a: seen.append(within(*a).count()) or within(*a)
+        got = {r.doc_id: r.component_id for r in B.near_duplicates(frame, 4, 0.8).collect()}
+    finally:
+        B._between, B._within = between, within
+    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for d, t in docs}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert got == {d: top(d) for d in sets}
+    assert all(n < 5 * len(docs) for n in seen), seen
