@@ -14,11 +14,11 @@ Spark counts gets into the manifest: a lost or repeated task leaves a file that
 nothing names. The reader memory-maps the files where the folder is mounted and
 otherwise reads ranges of them.
 
-Encoding goes chunk by chunk: the tokenizer drops white space and its patterns,
-normalisation and merges never cross it, so a text's ids are those of its runs
-between ASCII white space, one after the other. Runs met before come from a
-bounded table in each worker. `word_parts=False` encodes whole texts instead, for
-tokenizers that do not drop white space.
+Encoding goes run by run where the tokenizer's file says that it drops white space
+and that its patterns, normalisation and merges never cross it (`drops_space`): a
+text's ids are then those of its runs between ASCII white space, one after the
+other, and runs met before come from a bounded table in each worker. Other
+tokenizers encode whole texts. `word_parts` overrides the choice.
 
 Null texts count as empty and hold only the end id. Null document ids sort first
 and are read back as null. Repeated rows are written as often as they come, in
@@ -28,6 +28,8 @@ gives no shard and no row.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions, rows_of, shared_dir, texts
+from .common import on_default_file_system, partitions, rows_of, shared_dir, texts
 
 CACHED_RUNS, BLOCK = 1_000_000, 1 << 20
 NULL_ID = -(1 << 63)
@@ -48,34 +50,81 @@ SHARD = "place int, shard string, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-class RunIds(dict):
-    """Bytes of the ids of each run between white space; forgets all when full."""
+# The pattern of the tokenizers whose pieces never hold white space, and the letters for which it reads
+# the same below (ASCII and the Latin-1 letters, which lower one to one and are composed already).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
-    def __init__(self, tokenizer, kind):
-        self.tokenizer, self.kind = tokenizer, kind
 
-    def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= CACHED_RUNS:
+def drops_space(tokenizer_file: str) -> bool:
+    """Whether the tokenizer lowers text and cuts it by PIECES, bytes within, and does nothing else before its model."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        told = json.load(f)
+    before = (told.get("normalizer") or {}).get("normalizers") or []
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    lowers = [x.get("type") for x in before] == ["NFC", "Replace", "Lowercase"] and (before[1].get("pattern"), before[1].get("content")) == ({"Regex": r"\s+"}, " ")
+    cut = len(cuts) == 2 and cuts[0].get("type") == "Split" and cuts[0].get("pattern") == {"Regex": PIECES} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert")
+    plain = cut and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex", True)
+    return bool(lowers and plain and told["model"].get("type") == "BPE" and not told["model"].get("dropout"))
+
+
+class Kept(dict):
+    """What `make` gives for a key, kept for keys met lately: two generations of bounded size."""
+
+    def __init__(self, make, most: int = CACHED_RUNS):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most // 2:
+            self.before = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, self.kind).tobytes()
-        if len(run) <= 64:
-            self[run] = out
+        out = self.before.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
+            self[key] = out
         return out
 
 
+class RunIds(Kept):
+    """Bytes of the ids of each run between white space.
+
+    Runs of plain letters, digits and marks are cut into pieces here, and the model alone is asked for pieces not met
+    before; the tokenizer does all others."""
+
+    def __init__(self, tokenizer, kind: str, plain: bool):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__(self.ids)
+        self.tokenizer, self.kind, self.plain = tokenizer, kind, plain
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces = Kept(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        ((spelling, _),) = self.spelled.pre_tokenize_str(piece)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelling)], self.kind).tobytes()
+
+    def ids(self, run: bytes) -> bytes:
+        text = run.decode("utf-8", "replace")
+        if self.plain and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+            return b"".join(map(self.pieces.__getitem__, PLAIN_PIECES.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+
 @lru_cache(2)
 def run_ids(tokenizer_file: str, kind: str) -> RunIds:
     from tokenizers import Tokenizer
 
-    return RunIds(Tokenizer.from_file(tokenizer_file), kind)
+    return RunIds(Tokenizer.from_file(tokenizer_file), kind, drops_space(tokenizer_file))
 
 
 def _open(folder: str):
     return pafs.FileSystem.from_uri(folder)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, vocabulary: int, shards: int, word_parts: bool = True) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, vocabulary: int, shards: int, word_parts: bool) -> DataFrame:
     """Write the files of `docs` (doc_id, text); gives SHARD, a row for each file."""
     kind = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
 
@@ -154,15 +203,16 @@ def read_shards(manifest: DataFrame, folder: str, vocabulary: int) -> DataFrame:
     return manifest.mapInArrow(read, READ)
 
 
-def token_files(docs: DataFrame, tokenizer_file: str, end_id: int, vocabulary: int, folder: str | None = None, word_parts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def token_files(docs: DataFrame, tokenizer_file: str, end_id: int, vocabulary: int, folder: str | None = None, word_parts: bool | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Write the data set of `docs`; its manifest (with `base`), and READ, from the files.
 
     `tokenizer_file` is the path of a tokenizer's JSON file on every machine.
     """
     spark: SparkSession = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = on_default_file_system(spark, folder)
     shards = partitions(spark)
+    word_parts = drops_space(tokenizer_file) if word_parts is None else word_parts
     written = write_shards(texts(docs, id_col, text_col), folder, tokenizer_file, end_id, vocabulary, shards, word_parts)
     path = f"{folder}/shards.parquet"
     written.write.parquet(path)
