@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix, rows_of, word_hashes, word_spans
+from .common import BYTE_POWERS, U64, Scratch, hashes_between, mix, prefix_sums, rows_of, word_spans
 
-BITS, STEPS, SMALL, PARTS = 18, 40, 2e-4, 8  # SMALL: what large weights cost
+BITS, STEPS, SMALL, PARTS, BUFFER = 18, 40, 2e-4, 8, 1 << 20  # SMALL: what large weights cost
 BETWEEN = np.ones(256, np.int8)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 0
 NO_MARK = 1 - BETWEEN
@@ -25,25 +25,50 @@ BEGINS = (4, 6)
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
 
 
-def features(data: bytes) -> np.ndarray:
-    """Distinct places, in ascending order."""
-    low = data.lower()
-    spans = starts, ends = word_spans(low, BETWEEN)
-    words = np.unique(word_hashes(low, spans))
-    marks = np.unique(word_hashes(low, word_spans(low, NO_MARK)))
-    begins = [np.unique(word_hashes(low, (starts, np.minimum(ends, starts + k)))) ^ U64(k) for k in BEGINS]
-    n, size = len(spans[0]), max(1, len(data))
-    share = lambda drop: 1 - len(data.translate(None, drop)) / size
-    # Measures, each in its own steps.
-    measures = [min(20, n.bit_length()), *(int(20 * share(x)) for x in (_UPPER, _DIGITS)), min(20, int(50 * share(_SYMBOLS))), min(20, int(200 * share(b"!"))), int(10 * len(words) / max(1, n))]
-    named = mix(np.array([(k + 1) * 1000 + m for k, m in enumerate(measures)], U64))
-    return np.unique(np.concatenate([words, marks, *begins, named]) >> U64(64 - BITS)).astype(np.int32)
+def features(texts: list[bytes]) -> np.ndarray:
+    """For a few texts: number of text and place, distinct and ascending, as text << BITS | place."""
+    low = b" ".join(texts).lower()
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+    # Sorted by text and then hash: 56 bits of each hash go along.
+    keys = lambda of, hashes: (of.astype(U64) << U64(56)) | (hashes >> U64(8))
+    numbered = lambda at: np.searchsorted(begins, at, "right") - 1
+    places = lambda k: ((k >> U64(56)) << U64(BITS)) | ((k & U64((1 << 56) - 1)) >> U64(56 - BITS))
+    starts, ends = word_spans(low, BETWEEN)
+    of = numbered(starts)
+    sums = prefix_sums(np.frombuffer(low, np.uint8).astype(U64) + U64(1), BYTE_POWERS)
+    words = np.sort(keys(of, hashes_between(sums, starts, ends, BYTE_POWERS)))
+    words = words[np.flatnonzero(np.diff(words, prepend=~words[:1]))] if len(words) else words
+    mark_starts, mark_ends = word_spans(low, NO_MARK)
+    found = [places(words), places(keys(numbered(mark_starts), hashes_between(sums, mark_starts, mark_ends, BYTE_POWERS)))]
+    found += [places(keys(of, hashes_between(sums, starts, np.minimum(ends, starts + k), BYTE_POWERS) ^ U64(k))) for k in BEGINS]
+    n = np.bincount(of, minlength=len(texts)).tolist()
+    distinct = np.bincount((words >> U64(56)).astype(np.int64), minlength=len(texts)).tolist()
+    measured = np.empty((len(texts), 6), U64)  # measures, each in its own steps
+    for t, data in enumerate(texts):
+        size = max(1, len(data))
+        share = lambda drop: 1 - len(data.translate(None, drop)) / size  # noqa: B023, E731
+        measured[t] = min(20, n[t].bit_length()), *(int(20 * share(x)) for x in (_UPPER, _DIGITS)), min(20, int(50 * share(_SYMBOLS))), min(20, int(200 * share(b"!"))), int(10 * distinct[t] / max(1, n[t]))
+    named = mix(measured + U64(1000) * np.arange(1, 7, dtype=U64))
+    found.append(places(keys(np.repeat(np.arange(len(texts)), 6), named.ravel())))
+    return np.unique(np.concatenate(found).astype(np.int64))
 
 
 def packed(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all texts, one after the other, and where each text's begin."""
-    found = [features(x or b"") for x in texts]
-    return np.concatenate(found), np.cumsum([0, *(len(f) for f in found)])[:-1]
+    """The features of all texts, one after the other, and where each text's begin. A few texts at a time: bounded
+    buffers, or one text."""
+    found, counts, group, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        group.append(text or b"")
+        size += len(group[-1])
+        if size >= BUFFER or len(group) == 256 or k == len(texts) - 1:
+            keys = features(group)
+            counts.append(np.bincount(keys >> BITS, minlength=len(group)))
+            found.append((keys & ((1 << BITS) - 1)).astype(np.int32))
+            group, size = [], 0
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    counts = np.concatenate(counts)
+    return np.concatenate(found), np.cumsum(counts) - counts
 
 
 def scores(weights: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -53,8 +78,9 @@ def scores(weights: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.nd
 
 def sample(docs: DataFrame, labels: DataFrame, label: F.Column, most: int) -> DataFrame:
     """`text, label` of about `most` labelled documents, dealt by a hash of the id. Rows
-    with a null id or label are left out. The ids are bounded by `most`, so they are broadcast."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).dropna()
+    with a null id or label are left out; of labels that share an id, the least counts. The ids are distinct and
+    bounded by `most`, so they are broadcast."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     share = min(1.0, most / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id").select("text", "label")
@@ -77,12 +103,17 @@ def lowest(value, start: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
         way *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1 / size
         for (move, turn, inverse), w in zip(moves, reversed(weights), strict=True):
             way += (w - inverse * (turn @ way)) * move
-        length = 1.0
-        while True:
+        length, then = 1.0, np.inf
+        while length >= 1e-4:
             then, slope_then = value(x - length * way)
-            if then <= now - 1e-4 * length * (way @ slope) or length < 1e-4:
+            if then <= now - 1e-4 * length * (way @ slope):
                 break
             length /= 3
+        else:  # no length lowers it: begin anew with the slope alone, or end there
+            if not moves:
+                break
+            moves = []
+            continue
         move, turn = -length * way, slope_then - slope
         if move @ turn > 1e-12:
             moves = [*moves, (move, turn, 1 / (move @ turn))][-memory:]

@@ -7,18 +7,19 @@ each domain (rate x tokens x posterior, summed) are the target's share of a toke
 budget, by projected gradient descent on the squared differences. Steps are
 measured in tokens: a document's rate moves by its posterior times the domains'
 differences, solved against the token-weighted moments of the posteriors, and is
-cut off at 0 and at `MOST_RATE` (a domain that hardly occurs is not repeated
-without end). Rates are never collected: a rate is a function of the posterior and
-of the few steps so far. Rates start at 1, so documents keep their weight where
-targets allow it.
+cut off at 0 (and at `most`, if given: a domain that hardly occurs is then not
+repeated without end, and misses its target). Rates are never collected: a rate is a
+function of the posterior and of the few steps so far. Rates start at 1, so
+documents keep their weight where targets allow it. Steps go on until targets are
+met or no step of any size brings them nearer; `expected` tells how near.
 
 A rate of 2.3 means two copies and a third one for 3 documents in 10, by a hash of
-the id. Domains, from the labels: toxic, poor, good.
+the id and the text. Domains, from the labels: toxic, poor, good.
 
 The classifier is fitted on at most about `MOST_LABELLED` labelled documents, dealt
 by a hash of the id; all sums go over all documents. Null texts count as empty and
 have no tokens; null ids are dealt like any id; repeated rows count as often as
-they come. With no token at all, every rate stays 1. Targets that no rates can
+they come; columns of any name go along. With no token at all, every rate stays 1. Targets that no rates can
 meet are met as nearly as the steps get.
 """
 
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed_linear as H
-from .common import Scratch, carried, texts
+from .common import Scratch, carried, free_names, texts
 
 DOMAINS = ("toxic", "poor", "good")
 TARGETS = {"toxic": 0.01, "poor": 0.03, "good": 0.96}
-MOST_LABELLED, MOST_STEPS, MOST_RATE, CLOSE = 20_000, 25, 4.0, 1e-6
-TOKENS, POSTERIOR = "__n_tokens", "__posterior"  # columns that no input is likely to have
+MOST_LABELLED, MOST_RATE, CLOSE, HALVINGS = 20_000, float("inf"), 1e-6, 30
+TOKENS, POSTERIOR = "__n_tokens", "__posterior"  # made longer where the input has such columns
 
 
 def domain() -> F.Column:
@@ -61,8 +62,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: F.Column, domains: int, most_
     return H.fit(rows, loss, domains, np.zeros(domains))
 
 
-def posteriors(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """`docs` with TOKENS (words) and POSTERIOR."""
+def posteriors(docs: DataFrame, model, text_col: str = "text", tokens: str = TOKENS, posterior: str = POSTERIOR) -> DataFrame:
+    """`docs` with `tokens` (words) and `posterior`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(data):
@@ -71,68 +72,67 @@ def posteriors(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
         offsets = np.arange(0, p.size + 1, p.shape[1]).astype(np.int32)
         return [pa.array([len((x or b"").split()) for x in data], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(p.ravel()))]
 
-    return carried(docs, run, f"{TOKENS} long, {POSTERIOR} array<double>", text_col)
+    return carried(docs, run, f"{tokens} long, {posterior} array<double>", text_col)
 
 
-def rate(steps: list[np.ndarray], most: float = MOST_RATE) -> F.Column:
-    """A document's rate after `steps`, from its POSTERIOR; its size does not grow with the fit."""
+def rate(steps: list[np.ndarray], most: float = MOST_RATE, posterior: str = POSTERIOR) -> F.Column:
+    """A document's rate after `steps`, from its `posterior`; its size does not grow with the fit."""
     if not steps:
         return F.lit(1.0)
-    moved = lambda r, step: r + F.aggregate(F.arrays_zip(F.col(POSTERIOR).alias("p"), step.alias("s")), F.lit(0.0), lambda a, x: a + x["p"] * x["s"])
+    moved = lambda r, step: r + F.aggregate(F.arrays_zip(F.col(posterior).alias("p"), step.alias("s")), F.lit(0.0), lambda a, x: a + x["p"] * x["s"])
     all_steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
     return F.aggregate(all_steps, F.lit(1.0), lambda r, step: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), moved(r, step))))
 
 
-def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, most: float = MOST_RATE, most_steps: int = MOST_STEPS) -> list[np.ndarray]:
-    """Steps after which the domains' expected tokens are `shares` of `budget` (default: the tokens there are).
+class Sums:
+    """Of documents with `tokens` and `posterior`, all that the driver sees: a few numbers for each domain."""
 
-    members: TOKENS, POSTERIOR. A pass sums a few numbers for each domain, all that the driver
-    sees: the domains' tokens at the rates so far, and the moments of documents whose rate can
-    still move, by which the step is measured. A step that brings no gain is halved."""
-    k = len(shares)
-    n, r = F.col(TOKENS).cast("double"), F.col("r")
-    p = [F.get(POSTERIOR, F.lit(i)) for i in range(k)]
-    free = F.when((r > 0) & (r < most), n).otherwise(0.0)
+    def __init__(self, members: DataFrame, domains: int, most: float = MOST_RATE, tokens: str = TOKENS, posterior: str = POSTERIOR):
+        self.members, self.k, self.most, self.tokens, self.posterior = members, domains, most, tokens, posterior
 
-    def sums(steps: list[np.ndarray]):
+    def __call__(self, steps: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, the domains' expected tokens at the rates after `steps`, and the moments of documents whose
+        rate can still move, by which a step is measured."""
+        k, n, r = self.k, F.col(self.tokens).cast("double"), F.col("r")
+        p = [F.get(self.posterior, F.lit(i)) for i in range(k)]
+        free = F.when((r > 0) & (r < self.most), n).otherwise(0.0)
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = members.select(TOKENS, POSTERIOR, rate(steps, most).alias("r")).agg(F.sum(n), *(F.sum(n * p[i] * r) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i, j in pairs)).first()
-        row = [x or 0.0 for x in row]
+        rows = self.members.select(self.tokens, self.posterior, rate(steps, self.most, self.posterior).alias("r"))
+        row = [x or 0.0 for x in rows.agg(F.sum(n), *(F.sum(n * p[i] * r) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i, j in pairs)).first()]
         h = np.zeros((k, k))
         for (i, j), x in zip(pairs, row[1 + k :], strict=True):
             h[i, j] = h[j, i] = x
         return row[0], np.array(row[1 : 1 + k]), h
 
+
+def fit_rates(sums: Sums, shares: list[float], budget: float | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps after which the domains' expected tokens are `shares` of `budget` (default: the tokens there are), and
+    the expected and the target tokens.
+
+    A step that brings no gain is halved."""
     total, now, h = sums([])
-    if not total:
-        return []
     target = np.array(shares) / sum(shares) * (budget or total)
     steps: list[np.ndarray] = []
-    for _ in range(most_steps):
-        off = target - now
-        if np.abs(off).max() <= CLOSE * target.sum():
-            break
-        step = np.linalg.solve(h + np.eye(k) * 1e-6 * total, off)
+    halved = 0
+    while total and np.abs(off := target - now).max() > CLOSE * target.sum() and halved < HALVINGS:
+        step = np.linalg.solve(h + np.eye(sums.k) * 1e-6 * total, off)
         then, h_then = sums([*steps, step])[1:]
-        if ((target - then) ** 2).sum() < (off**2).sum():
-            steps, now, h = [*steps, step], then, h_then
+        before, after = (off**2).sum(), ((target - then) ** 2).sum()
+        if after < before * (1 - 1e-9):
+            steps, now, h, halved = [*steps, step], then, h_then, 0
         else:
-            h = 2 * h + np.eye(k) * 1e-3 * total
-    return steps
+            h, halved = 2 * h + np.eye(sums.k) * 1e-3 * total, halved + 1
+    return steps, now, target
 
 
-def copies(rate_col: F.Column, id_col: str = "doc_id", seed: int = 17) -> F.Column:
-    """The rate as a whole number of copies, right on average."""
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def copies(rate_col: F.Column, dealt: F.Column) -> F.Column:
+    """The rate as a whole number of copies, right on average. dealt: a hash of the row."""
+    unit = F.pmod(dealt, F.lit(1 << 40)) / F.lit(float(1 << 40))
     return (F.floor(rate_col) + (unit < rate_col - F.floor(rate_col)).cast("long")).cast("long")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, label: F.Column, targets: dict[str, float], budget: float | None, most: float):
-    """The classifier, and the documents' TOKENS and POSTERIOR as a table, and the steps."""
-    model = fit(docs, labels, label, len(targets))
-    scratch = Scratch(docs.sparkSession, "mixing")
-    members = scratch.save(posteriors(texts(docs), model).drop("text"), "members")
-    return model, members, fit_rates(members, list(targets.values()), budget, most)
+def deal(seed: int = 17) -> F.Column:
+    return F.xxhash64("doc_id", "text", F.lit(seed))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, label: F.Column | None = None, budget: float | None = None, most: float = MOST_RATE) -> DataFrame:
@@ -141,14 +141,29 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     targets: the share of each domain, in the order of their numbers; label: the number of a
     labelled row's domain (default: DOMAINS); most: no document's rate is higher."""
     targets = targets or TARGETS
-    _, members, steps = _fitted(docs, labels, domain() if label is None else label, targets, budget, most)
+    model = fit(docs, labels, domain() if label is None else label, len(targets))
+    rows = texts(docs).withColumn("deal", deal())
+    members = Scratch(docs.sparkSession, "mixing").save(posteriors(rows, model).drop("text"), "members")
+    steps, _, _ = fit_rates(Sums(members, len(targets), most), list(targets.values()), budget)
     out = members.withColumn("rate", rate(steps, most))
-    return out.select("doc_id", F.col(TOKENS).alias("n_tokens"), *(F.get(POSTERIOR, F.lit(k)).alias(f"p_{d}") for k, d in enumerate(targets)), "rate", copies(F.col("rate")).alias("copies"))
+    return out.select("doc_id", F.col(TOKENS).alias("n_tokens"), *(F.get(POSTERIOR, F.lit(k)).alias(f"p_{d}") for k, d in enumerate(targets)), "rate", copies(F.col("rate"), F.col("deal")).alias("copies"))
+
+
+def expected(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, label: F.Column | None = None, budget: float | None = None, most: float = MOST_RATE) -> DataFrame:
+    """`domain, target_tokens, expected_tokens`: how near the fitted rates come to the targets."""
+    targets = targets or TARGETS
+    model = fit(docs, labels, domain() if label is None else label, len(targets))
+    members = Scratch(docs.sparkSession, "mixing").save(posteriors(texts(docs), model).drop("text"), "members")
+    _, now, target = fit_rates(Sums(members, len(targets), most), list(targets.values()), budget)
+    return docs.sparkSession.createDataFrame([(d, float(t), float(x)) for d, t, x in zip(targets, target, now, strict=True)], "domain string, target_tokens double, expected_tokens double")
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, label: F.Column | None = None, budget: float | None = None, most: float = MOST_RATE) -> DataFrame:
-    """The rows of `docs`, each as often as its rate says, in the columns of `docs`."""
-    model, _, steps = _fitted(docs, labels, domain() if label is None else label, targets or TARGETS, budget, most)
-    rows = posteriors(docs, model).withColumn(TOKENS, copies(rate(steps, most)))
-    each = F.explode(F.sequence(F.lit(1), F.col(TOKENS).cast("int"))).alias(TOKENS)
-    return rows.where(F.col(TOKENS) > 0).select(*(f"`{c}`" for c in docs.columns), each).drop(TOKENS)
+    """The rows of `docs`, each as often as its rate says, in the columns of `docs`. Texts are scored once."""
+    targets = targets or TARGETS
+    model = fit(docs, labels, domain() if label is None else label, len(targets))
+    tokens, posterior, often = free_names(docs, TOKENS, POSTERIOR, "__copies")
+    rows = Scratch(docs.sparkSession, "mixing").save(posteriors(docs, model, "text", tokens, posterior), "scored")
+    steps, _, _ = fit_rates(Sums(rows, len(targets), most, tokens, posterior), list(targets.values()), budget)
+    rows = rows.withColumn(often, copies(rate(steps, most, posterior), deal())).where(F.col(often) > 0)
+    return rows.select(*(f"`{c}`" for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(often).cast("int"))).alias(often)).drop(often)

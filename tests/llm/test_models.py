@@ -58,7 +58,7 @@ def test_lowest_finds_the_least():
 
 def test_features_of_odd_texts():
     for text in (b"", b" \n", "é 日本 ###".encode(), b"a" * 100_000):
-        places = H.features(text)
+        places, _ = H.packed([text])
         assert len(places) and places.min() >= 0 and places.max() < 1 << H.BITS and (np.diff(places) > 0).all()
 
 
@@ -96,7 +96,8 @@ def test_expected_tokens_meet_the_targets(spark, tables):
 def test_rates_are_cut_off(spark):
     rows = [(100, [1.0, 0.0]), (100, [0.9, 0.1])] * 10
     members = spark.createDataFrame(rows, f"{M.TOKENS} long, {M.POSTERIOR} array<double>")
-    steps = M.fit_rates(members, [0.05, 0.95], most=2.0)
+    steps, now, target = M.fit_rates(M.Sums(members, 2, most=2.0), [0.05, 0.95])
+    assert np.isclose(target.sum(), 2000) and now.sum() < 2000  # out of reach
     rates = [r[0] for r in members.select(M.rate(steps, 2.0)).collect()]
     assert min(rates) >= 0 and max(rates) <= 2
 
@@ -108,3 +109,58 @@ def test_resampled_rows_come_as_often_as_told(spark, tables):
     assert out.columns == docs.columns
     want = {r.doc_id: r.copies for r in M.mixed(docs, labels).collect() if r.copies}
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
+
+
+def plain_features(data):
+    """One text at a time, one kind at a time."""
+    from logloom.llm.common import U64, mix, word_hashes, word_spans
+
+    low = data.lower()
+    spans = starts, ends = word_spans(low, H.BETWEEN)
+    words = np.unique(word_hashes(low, spans))
+    begins = [np.unique(word_hashes(low, (starts, np.minimum(ends, starts + k)))) ^ U64(k) for k in H.BEGINS]
+    n, size = len(starts), max(1, len(data))
+    share = lambda drop: 1 - sum(b not in drop for b in data) / size
+    told = [min(20, n.bit_length()), int(20 * share(H._UPPER)), int(20 * share(H._DIGITS)), min(20, int(50 * share(H._SYMBOLS))), min(20, int(200 * share(b"!"))), int(10 * len(words) / max(1, n))]
+    named = mix(np.array([(k + 1) * 1000 + m for k, m in enumerate(told)], U64))
+    return np.unique(np.concatenate([words, word_hashes(low, word_spans(low, H.NO_MARK)), *begins, named]) >> U64(64 - H.BITS)).astype(np.int32)
+
+
+def test_features_of_a_buffer_are_those_of_each_text(monkeypatch):
+    rnd = random.Random(9)
+    texts = [None, b"", b"!!!", "É ñ 日本 ###".encode()] + [" ".join(rnd.choice(["Ab", "cdefghij", "x1", "--", "é", "9"]) for _ in range(rnd.randint(0, 300))).encode() for _ in range(300)]
+    for buffer in (1 << 20, 500):
+        monkeypatch.setattr(H, "BUFFER", buffer)
+        found, starts = H.packed(texts)
+        for text, a, b in zip(texts, starts, [*starts[1:], len(found)], strict=True):
+            want = plain_features(text or b"")
+            assert found[a:b].tolist() == want.tolist()
+
+
+def test_lowest_never_takes_a_step_up():
+    seen = []
+
+    def value(x):  # a kink that quasi-Newton steps overshoot
+        seen.append(float(np.abs(x).sum()))
+        return float(np.abs(x).sum()), np.sign(x)
+
+    found = H.lowest(value, np.array([3.0, -2.0, 0.5]), 50)
+    assert np.abs(found).sum() <= 5.5 and np.isclose(np.abs(found).sum(), min(seen), atol=1e-9)
+
+
+def test_rare_domains_meet_their_targets(spark):
+    """A domain of 1 % gets half of the tokens: without a cap its rate goes up as far as it must."""
+    rows = [(100, [1.0, 0.0])] * 2 + [(100, [0.0, 1.0])] * 198
+    members = spark.createDataFrame(rows, f"{M.TOKENS} long, {M.POSTERIOR} array<double>")
+    steps, now, target = M.fit_rates(M.Sums(members, 2), [0.5, 0.5])
+    assert np.allclose(now, target, rtol=1e-4)
+    assert abs(max(r[0] for r in members.select(M.rate(steps)).collect()) - 50) < 0.1
+
+
+def test_mixing_keeps_clashing_columns_and_tells_how_near(spark, tables):
+    docs, labels = tables
+    docs = docs.select("doc_id", "text", F.lit(1.5).alias(M.TOKENS), F.lit("p").alias(M.POSTERIOR), F.lit(2).alias("__copies"))
+    out = M.resampled(docs, labels)
+    assert out.columns == docs.columns and {(r[2], r[3], r[4]) for r in out.collect()} == {(1.5, "p", 2)}
+    for r in M.expected(docs, labels).collect():
+        assert abs(r.expected_tokens - r.target_tokens) < 1e-3 * max(1, r.target_tokens), r
