@@ -3,16 +3,18 @@
 Base kinds (email, ip, card, phone) are found by regular expressions and checks.
 They are the seeds. Tokens with three digits in a row or an `@` are instances; the
 word before a token and the token's shape (digits as 9, letters as a) make a
-lexical pattern. A pattern is judged once, by the seeds alone: by the lower
-confidence bound (Wilson's, `Z` standard deviations) of the share of its distinct
-instances that are seeds there, an instance that is one only in some places
-counting in part. Tokens that fail a base check, as Luhn's, are no seeds and count
-against it. Patterns whose bound is at least `SURE` then mark the other tokens that
-stand in them as personal data, kind `context`. What they mark does not count for
-any pattern, so a pattern of which less than `SURE` are seeds does not come in by
-more rounds or more input; more input only narrows the bound. Counts come from
-groupings with partial sums, so frequent patterns and instances do not gather in
-one place; nothing is collected but how many rows there are.
+lexical pattern. Patterns are judged in rounds over the graph of patterns and
+instances, by the lower confidence bound (Wilson's, `Z` standard deviations) of the
+share of a pattern's distinct instances that speak for it: in the first round the
+seeds, an instance that is one only in some places counting in part; in later rounds
+also instances that `CONFIRM` sure patterns have found. A pattern whose bound is at
+least `SURE` is sure and stays so; it marks the other tokens that stand in it as
+personal data, kind `context`, and so helps to find patterns that no seed stands in.
+What a pattern marks never counts for the pattern itself, and a single pattern
+confirms nothing. Tokens that fail a base check, as Luhn's, count against a pattern
+unless confirmed. More input only narrows the bounds. Counts come from groupings with
+partial sums, so frequent patterns and instances do not gather in one place; nothing
+is collected but whether a round added a pattern.
 
 Offsets are code points, ends exclusive. Matches are leftmost and do not overlap
 within a kind; one that fails its check is dropped with no retry. The expressions
@@ -30,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_names
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -47,7 +49,7 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?(?:@|[0-9]{3}))[^\x20\x09-\x0D]++"
 TOKEN_NEEDS = r"@|[0-9]{3}"
 #: One-sided 95 in 100.
-SURE, Z = 0.8, 1.645
+SURE, Z, CONFIRM = 0.8, 1.645, 2
 SPAN = "array<struct<start:int,end:int,found:string>>"
 
 
@@ -128,11 +130,27 @@ def lower_bound(hits: Column, count: Column, z: float = Z) -> Column:
     return (share + z2 / (2 * count) - half) / (1 + z2 / count)
 
 
-def sure_patterns(edges: DataFrame, sure: float = SURE) -> DataFrame:
-    """`pattern` of high confidence. edges: distinct `pattern, instance, seed double`,
-    seed being the share of the instance's places in the pattern that are seeds."""
-    counted = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").cast("double").alias("n"))
-    return counted.where(lower_bound(F.col("seeds"), F.col("n")) >= sure).select("pattern")
+def sure_patterns(edges: DataFrame, scratch: Scratch, sure: float = SURE) -> DataFrame:
+    """`pattern` of high confidence, by rounds over the graph of patterns and instances.
+
+    edges: distinct `pattern, instance, seed double`, seed being the share of the
+    instance's places in the pattern that are seeds. The first round judges patterns by
+    their seeds. Each further round also counts instances that `CONFIRM` patterns of
+    earlier rounds have found, and judges the patterns that are not sure yet: what
+    speaks for a pattern never comes from itself, and all of its other instances, those
+    that fail a check among them, count against it. Rounds end when no pattern is added.
+    """
+    judged = lambda e: e.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").cast("double").alias("n")).where(lower_bound(F.col("seeds"), F.col("n")) >= sure).select("pattern")
+    known = scratch.save(judged(edges), "patterns-0")
+    k = 0
+    new = known
+    while not new.isEmpty():
+        k += 1
+        confirmed = edges.join(known, "pattern").groupBy("instance").count().where(F.col("count") >= CONFIRM).select("instance", F.lit(1.0).alias("confirmed"))
+        rest = edges.join(known, "pattern", "left_anti").join(confirmed, "instance", "left")
+        new = scratch.save(judged(rest.withColumn("seed", F.greatest("seed", F.coalesce("confirmed", F.lit(0.0))))), f"new-{k}")
+        known = scratch.save(known.unionByName(new), f"patterns-{k}")
+    return known
 
 
 def all_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -140,7 +158,8 @@ def all_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
     covered = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     seen = found.where(F.size("tokens") > 0).select("doc_id", "text_key", F.explode(F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), t["pattern"].alias("pattern"), covered(t).alias("seed")))).alias("t")).select("doc_id", "text_key", "t.*")
     seen = scratch.save(seen, "tokens")
-    patterns = sure_patterns(seen.groupBy("pattern", "instance").agg(F.avg(F.col("seed").cast("double")).alias("seed")))
+    edges = scratch.save(seen.groupBy("pattern", "instance").agg(F.avg(F.col("seed").cast("double")).alias("seed")), "edges")
+    patterns = sure_patterns(edges, scratch)
     # The least span is as good as any where a row comes twice: its copies have the same.
     new = seen.where("not seed").join(patterns, "pattern").select("doc_id", "text_key", "start", "end").distinct()
     new = new.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end")))).alias("more"))  # of one text
@@ -185,10 +204,11 @@ def blanked(text: Column, spans_col: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with its personal data blanked out, and `n_chars` set to the new lengths."""
     scratch = Scratch(docs.sparkSession, "pii")
-    found = all_spans(scratch.save(found_in(docs), "found"), scratch).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.array_sort(F.concat("base", "more")).alias("__spans"))
-    found = found.where(F.size("__spans") > 0).dropDuplicates(["__id", "__key"])
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key")), "left")
-    text = blanked(F.col("text"), F.coalesce("__spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    out = joined.withColumn("__text", text)
-    values = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    own_id, own_key, own_spans, clean = free_names(docs, "id", "key", "spans", "clean")
+    found = all_spans(scratch.save(found_in(docs), "found"), scratch).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.array_sort(F.concat("base", "more")).alias(own_spans))
+    found = found.where(F.size(own_spans) > 0).dropDuplicates([own_id, own_key])
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_key)), "left")
+    text = blanked(F.col("text"), F.coalesce(own_spans, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    out = joined.withColumn(clean, text)
+    values = {"text": F.col(clean), "n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*((values.get(c) if c in values else F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -79,6 +79,31 @@ def test_sure_patterns_do_not_depend_on_corpus_size(spark):
     assert sure_words(corpus(20)) == ["member"] * 20
 
 
+def test_rounds_reach_identifiers_two_hops_away(spark):
+    """`card` and `pay` have seeds; `acct` has none, but its instances are known from both. `note` shares instances with
+    `card` alone, so one pattern would have to vouch for it; `part` has too many others. Neither comes in, at any round."""
+    fresh = iter(range(4000000000000000, 4000000001000000))
+    card = lambda good: next(n for n in fresh if holds("card", str(n)) == good)
+    shared, single = [card(False) for _ in range(30)], [card(False) for _ in range(30)]
+    texts = [f"{w} {card(True)} ok" for w in ("card", "pay") for _ in range(400)]
+    texts += [f"{w} {n} ok" for w in ("card", "pay", "acct") for n in shared] + [f"{w} {n} ok" for w in ("card", "note") for n in single]
+    texts += [f"part {n} ok" for n in shared] + [f"part {card(False)} ok" for _ in range(30)]
+    at = len(texts)
+    texts += [f"{w} {card(False)} end" for w in ("acct", "note", "part")]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = {r.doc_id: r.spans for r in P.find_pii(docs).collect()}
+    assert found[at] == "context:5:21" and found[at + 1] == found[at + 2] == ""
+    marked = {texts[d].split()[0] for d, s in found.items() if "context" in s}
+    assert marked == {"card", "pay", "acct"}
+
+
+def test_redact_takes_columns_of_any_name(spark):
+    names = ["__id", "__key", "__spans", "__text", "id", "key", "spans", "clean"]
+    docs = spark.createDataFrame([(1, "to x@y.z", *range(8))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = P.redact(docs)
+    assert out.columns == docs.columns and tuple(out.first()) == (1, "to [EMAIL]", *range(8))
+
+
 def test_redact_keeps_other_columns_and_rows(spark):
     docs = spark.createDataFrame([(1, "to x@y.z or 10.0.0.1.", "s", 21), (2, None, "t", None), (1, "clean", None, 5)], "doc_id long, text string, spans string, n_chars long")
     rows = sorted(P.redact(docs).collect(), key=lambda r: (r.doc_id, r.text or ""))
