@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_POWERS, U64, mix, partitions, rows_of, spans_hash, texts
+from .common import BYTE_POWERS, U64, mix, partitions, range_of, rows_of, spans_hash, texts
 
 SIZE, CHUNK = 64, 1024
 _A = (mix(np.arange(1, SIZE + 1, dtype=U64)) >> U64(32)).astype(np.uint32)[:, None] | np.uint32(1)
@@ -146,13 +146,14 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     n = partitions(docs.sparkSession)
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = sorted({int(x) for x in rows.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("range", part)
-    firsts = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.min("key").alias("first")).collect())  # a row for each range
+    rows = rows.withColumn("range", range_of(F.col("key"), [F.lit(c) for c in cuts]))
+    firsts = dict(sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.min("key").alias("first")).collect()))  # a row for each range
+    # By range: its first key, and the range before it that has rows (before the first range, the last one).
+    filled = list(firsts)
+    before = {r: filled[k - 1] for k, r in enumerate(filled)}
+    of_range = lambda values, none: F.get(F.array(*(F.lit(values.get(r, none)) for r in range(len(cuts) + 1))), F.col("range"))
     own = lambda p, g: F.struct(p.cast("int").alias("range"), F.lit(g).alias("guest"))
-    places = F.array(own(F.col("range"), False))
-    for k, (_, first) in enumerate(firsts):
-        before = firsts[k - 1][0]  # of the first range, the last one
-        places = F.when(F.col("key") == first, F.array(own(F.col("range"), False), own(F.lit(before), True))).otherwise(places)
+    here = own(F.col("range"), False)
+    places = F.when(F.col("key") == of_range(firsts, None).cast("long"), F.array(here, own(of_range(before, 0), True))).otherwise(F.array(here))
     dealt = rows.select("key", "text", F.explode(places).alias("place")).select("key", "place.range", "place.guest", "text")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "guest", "key", "text").mapInArrow(_neighbours, COLUMNS)
+    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", "key", "text").mapInArrow(_neighbours, COLUMNS)

@@ -225,3 +225,45 @@ def test_neighbours_in_order(spark):
     one = L.neighbour_fingerprints(spark.createDataFrame([(5, "abcd")], SCHEMA)).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abca").hexdigest()
     assert L.neighbour_fingerprints(spark.createDataFrame([(4, "x"), (4, "x"), (4, "y")], SCHEMA)).count() == 3
+
+
+# ------------------------------------------------------------------ op3: pieces
+
+
+def test_plain_runs_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert T.drops_space(path)
+    runs, whole, rnd = T.run_ids(path, "<u2"), Tokenizer.from_file(path), random.Random(8)
+    letters = "abcXYZ019'.,!?-_<|>#\x7féñßÿÀÖ×÷\xa0日𝒳 "
+    words_ = ["don't", "WE'LL", "it's'd", "<|endoftext|>", "a<|startoftext|>b", "Straße", "ÀÉÎ", "é", "ﬁ", "12345", "x" * 90, "'s's", "\x01a"]
+    words_ += ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    for text in words_:
+        for run in text.encode().split():
+            want = whole.encode(run.decode(), add_special_tokens=False).ids
+            assert np.frombuffer(runs[run], "<u2").tolist() == want, run
+
+
+def test_kept_values_come_back_after_both_generations():
+    made = []
+    kept = T.Kept(lambda k: made.append(k) or len(k), most=8)
+    for k in [b"a" * n for n in range(1, 30)] * 2:
+        assert kept[k] == len(k)
+    assert len(kept) <= 4 and len(kept.before) <= 4 and len(made) < 60
+
+
+# ------------------------------------------------------------------ op9: ranges
+
+
+def test_fingerprints_at_many_ranges(spark):
+    docs = spark.createDataFrame(corpus(4), SCHEMA)
+    few = by_id(L.neighbour_fingerprints(docs))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        plan = L.neighbour_fingerprints(docs)
+        assert plan.columns and len(plan._jdf.queryExecution().optimizedPlan().toString()) < 2_000_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert by_id(L.neighbour_fingerprints(docs.repartition(3))) == few
