@@ -17,7 +17,7 @@ from .. import config
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import cluster as C
-from ..operators import frame_ops, match, metrics, store, templates
+from ..operators import cross_search, frame_ops, match, metrics, store, templates
 from ..sources import tables
 from . import sqlgen as S
 
@@ -94,7 +94,7 @@ def q_mask_normalise(spark, sf):
 def _unknown_content_sql(x: str) -> str:
     out = S.strip(x)
     s = S.strip(x)
-    for pat in reversed(config.UNKNOWN_HEADER_PATTERNS):
+    for pat in map(S.unicode_words, reversed(config.UNKNOWN_HEADER_PATTERNS)):
         out = f"(CASE WHEN regexp_matches({s}, {S.q(pat)}) THEN {S.strip(f'regexp_extract({s}, {S.q(pat)}, 1)')} ELSE {out} END)"
     return out
 
@@ -643,7 +643,57 @@ def q_evaluate_macro(spark, sf):
         F.lit(None).cast("long").alias("store_templates"), F.lit(0.7).alias("alpha")))
 
 
-@query("hybrid_best")
+def _encoded_sql(rows: str, text: str) -> str:
+    """The rows, with the hashed vector `v` of their `text` as the encoder gives it."""
+    hashes = f"list_transform({S.tokens(text)}, lambda t: CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT))"
+    bucket = "list_transform(list_filter(hs, lambda h: h % 64 = d), lambda h: CASE WHEN (h // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END)"
+    counts = f"list_transform(range(64), lambda d: CAST(coalesce(list_sum({bucket}), 0.0) AS DOUBLE))"
+    return (f"(SELECT * EXCLUDE (hs, raw_v, norm), list_transform(raw_v, lambda x: CAST(CASE WHEN norm > 0 THEN x / norm ELSE 0.0 END AS FLOAT)) AS v "
+            f"FROM (SELECT *, sqrt(list_inner_product(raw_v, raw_v)) AS norm FROM (SELECT *, {counts} AS raw_v FROM (SELECT *, {hashes} AS hs FROM {rows}))))")
+
+
+def _store_sql(pp: str, tau: float) -> str:
+    """`dataset, cluster_id, template, template_id, store_ord, c`: the slice store, `c` its centroids."""
+    lines = _encoded_sql(f"(SELECT *, {S.partition_key('normalised', 'dataset')} AS cluster_id FROM {_distinct_sql(pp)})", "normalised")
+    mean = (f"(SELECT dataset, cluster_id, d, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT dataset, cluster_id, unnest(v) AS x, "
+            f"generate_subscripts(v, 1) AS d FROM {lines}) GROUP BY ALL)")
+    cents = (f"(SELECT dataset, cluster_id, list(CAST(m / (n + 1e-8) AS FLOAT) ORDER BY d) AS c FROM (SELECT *, "
+             f"sqrt(sum(m * m) OVER (PARTITION BY dataset, cluster_id)) AS n FROM {mean}) GROUP BY ALL)")
+    return (f"(SELECT t.dataset, t.cluster_id, t.template, {S.template_id('t.template')} AS template_id, t.store_ord, c.c "
+            f"FROM {_vote_sql(pp, tau)} t JOIN {cents} c USING (dataset, cluster_id))")
+
+
+_STORES_SQL = f"(SELECT * FROM {_store_sql(EV_PP, _SLICE_T)} UNION ALL SELECT * FROM {_store_sql(DOC_PP, 0.5)})"
+_UNKNOWN_SQL = (f"(SELECT line_id, raw, content, {_unknown_mask_sql('content')} AS normalised FROM "
+                f"(SELECT line_id, raw, {_unknown_content_sql('raw')} AS content FROM {tables.unknown_lines_sql()}))")
+
+
+def _scored_sql(lines: str, stores: str, alpha: float, set_variant: bool, on: str = "") -> str:
+    """CTEs up to `scored(line, dataset, store_ord, template_id, template, first, score)` of all pairs of distinct texts and templates."""
+    kind, empty, fixed = ("list_distinct(fx)", 0.5, "list_distinct(fx)") if set_variant else ("fx", 0.3, "fx")
+    return f"""lines AS MATERIALIZED (SELECT * FROM {lines}),
+texts AS MATERIALIZED (SELECT text, CAST(v AS DOUBLE[64]) AS v, tk, len(tk) AS n, lower(tk[1]) AS t0 FROM (SELECT *, {S.tokens('text')} AS tk FROM
+  {_encoded_sql("(SELECT DISTINCT normalised AS text FROM lines WHERE normalised <> '')", 'text')})),
+temp0 AS MATERIALIZED (SELECT *, {S.tokens('template')} AS tk FROM {stores}),
+temps AS MATERIALIZED (SELECT dataset, store_ord, template_id, template, CAST(c AS DOUBLE[64]) AS c, coalesce(lower(tk[1]), '') AS t0, len(tk) AS n, {kind} AS fx, len({fixed}) AS nf, row_number() OVER () AS tid
+  FROM (SELECT *, list_transform(list_filter(tk, lambda t: t <> '<*>'), lambda t: lower(t)) AS fx FROM temp0)),
+lt AS (SELECT text, unnest(list_distinct(list_transform(tk, lambda t: lower(t)))) AS tok FROM texts),
+tt AS (SELECT tid, tok, count(*) AS c FROM (SELECT tid, unnest(fx) AS tok FROM temps) GROUP BY ALL),
+hits AS MATERIALIZED (SELECT text, tid, sum(c) AS h FROM lt JOIN tt USING (tok) GROUP BY ALL),
+scored AS (SELECT x.text, t.dataset, t.store_ord, t.template_id, t.template, x.t0 = t.t0 AS same_first,
+  {alpha} * array_inner_product(x.v, t.c) + (1 - {alpha}) * (CASE WHEN t.nf = 0 THEN {empty} ELSE 0.5 * coalesce(h.h, 0) / greatest(t.nf, 1)
+    + 0.3 * (CASE WHEN x.t0 = t.t0 THEN 1.0 ELSE 0.0 END) + 0.2 * (1.0 - abs(x.n - t.n) / greatest(x.n, t.n, 1)) END) AS score
+  FROM texts x JOIN temps t ON {on or 'true'} LEFT JOIN hits h ON h.text = x.text AND h.tid = t.tid)"""
+
+
+def _cross_sql(k: int) -> str:
+    return f"""{_scored_sql(_UNKNOWN_SQL, _STORES_SQL, 0.5, False)},
+top AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY round(score, 6) DESC, dataset, store_ord) AS rank FROM scored QUALIFY rank <= {k})"""
+
+
+@query("hybrid_best", f"""WITH {_scored_sql(_distinct_sql(EV_PP), _store_sql(EV_PP, _SLICE_T), 0.7, False)},
+top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, store_ord) = 1)
+SELECT dataset, text AS normalised, template_id, round(score, 4) AS score, {S.match_class('score')} AS match_type FROM top""")
 def q_hybrid_best(spark, sf):
     d = frame_ops.distinct_lines(events_pp(spark, sf))
     enc = V.encode_lines(d, "normalised")
@@ -661,33 +711,50 @@ def all_stores(spark, sf) -> DataFrame:
     return slice_store(spark, sf).unionByName(slice_store(spark, sf, docs_pp, 0.5))
 
 
-@query("cross_store_topk")
+@query("cross_store_topk", f"""WITH {_cross_sql(3)}
+SELECT line_id, CAST(rank AS INTEGER) AS rank, dataset AS store_dataset, template_id, round(score, 4) AS score FROM lines JOIN top ON text = normalised""")
 def q_cross_store(spark, sf):
-    r = match.cross_store_topk(unknown_lines_pp(spark, sf), all_stores(spark, sf), k=3, alpha=0.5)
+    r = cross_search.cross_store_topk(unknown_lines_pp(spark, sf), all_stores(spark, sf), k=3, alpha=0.5)
     return r.select("line_id", "rank", "store_dataset", "template_id", F.round("score", 4).alias("score"))
 
 
-@query("unknown_summary")
+@query("unknown_summary", f"""WITH {_cross_sql(1)},
+m AS (SELECT {S.match_class('coalesce(score, 0.0)')} AS match_type FROM lines LEFT JOIN top ON text = normalised WHERE normalised <> '')
+SELECT match_type, count(*) AS n, sum(count(*)) OVER () AS total, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct FROM m GROUP BY match_type""")
 def q_unknown_summary(spark, sf):
     """I9 + B24: best cross-store match per unknown line, classes and counts."""
     u = unknown_lines_pp(spark, sf)
-    r = match.cross_store_topk(u, all_stores(spark, sf), k=1, alpha=0.5)
+    r = cross_search.cross_store_topk(u, all_stores(spark, sf), k=1, alpha=0.5)
     j = u.join(r, "line_id", "left").withColumn("match_type", T.match_class(F.coalesce("score", F.lit(0.0))))
     shaped = match.shape_unknown(j)
     return metrics.class_summary(shaped).select("match_type", "n", "total", "pct")
 
 
-@query("keyword_blocked_best")
+_BLOCKED_SQL = f"""{_scored_sql(_UNKNOWN_SQL, _STORES_SQL, 0.7, True)},
+best AS (SELECT text, dataset, CASE WHEN bool_or(same_first) THEN max(score) FILTER (same_first) ELSE max(score) END AS score FROM scored GROUP BY ALL)"""
+
+
+@query("keyword_blocked_best", f"WITH {_BLOCKED_SQL} SELECT line_id, dataset, round(score, 4) AS score FROM lines JOIN best ON text = normalised")
 def q_keyword_blocked(spark, sf):
     r = match.keyword_blocked_best(unknown_lines_pp(spark, sf), all_stores(spark, sf), alpha=0.7)
     return r.select("line_id", "dataset", F.round("score", 4).alias("score"))
 
 
-@query("cross_system_rates")
+_RATES = ("match", "exact", "partial", "fuzzy", "new")
+_CLASS_SUMS = ", ".join(f"sum(CASE WHEN mt = '{c}' THEN 1 ELSE 0 END) AS \"{c}\"" for c in _RATES[1:])
+_RATE_COLS = ", ".join(f'round("{"matched" if c == "match" else c}" / total, 6) AS {c}_rate' for c in _RATES)
+
+
+@query("cross_system_rates", f"""WITH {_BLOCKED_SQL},
+b AS (SELECT dataset, score, {S.match_class('score')} AS mt FROM lines JOIN best ON text = normalised),
+r AS (SELECT dataset, sum(CASE WHEN mt <> 'new' THEN 1 ELSE 0 END) AS matched, {_CLASS_SUMS}, count(*) AS total, round(avg(score), 4) AS mean_score FROM b GROUP BY dataset)
+SELECT dataset, CAST(matched AS BIGINT) AS matched, CAST("exact" AS BIGINT) AS "exact", CAST("partial" AS BIGINT) AS "partial", CAST("fuzzy" AS BIGINT) AS "fuzzy", CAST("new" AS BIGINT) AS "new",
+  total, mean_score, {_RATE_COLS}, row_number() OVER (ORDER BY matched / total DESC, list_position(['events', 'de', 'en', 'es', 'fr'], dataset)) = 1 AS is_best FROM r""")
 def q_cross_system_rates(spark, sf):
     best = match.keyword_blocked_best(unknown_lines_pp(spark, sf), all_stores(spark, sf), alpha=0.7)
     order = ["events", "de", "en", "es", "fr"]
-    return metrics.cross_system_rates(best, order)
+    rates = metrics.cross_system_rates(best, order).withColumn("mean_score", F.round("mean_score", 4))
+    return rates.withColumns({f"{c}_rate": F.round(f"{c}_rate", 6) for c in _RATES})
 
 
 # ------------------------------------------------------------ sweeps
@@ -782,6 +849,20 @@ def q_entropy_monitor(spark, sf):
     return monitor.entropy_checkpoints(p)
 
 
+_CLAMP_SQL = "least(0.55, greatest(0.05, {} + 0.01 * s.step))"
+
+
+@query("entropy_threshold", f"""
+WITH RECURSIVE s AS ({ORACLES["entropy_monitor"]}),
+w AS (SELECT dataset, checkpoint, {_CLAMP_SQL.format("0.2")} AS threshold FROM s WHERE checkpoint = 100
+  UNION ALL SELECT s.dataset, s.checkpoint, {_CLAMP_SQL.format("w.threshold")} FROM w JOIN s ON s.dataset = w.dataset AND s.checkpoint = w.checkpoint + 100)
+SELECT dataset, checkpoint, CAST(round(threshold, 6) AS DOUBLE) AS threshold FROM w""")
+def q_entropy_threshold(spark, sf):
+    """K2: the running threshold, as the streaming learner has it after each checkpoint."""
+    from ..streaming import monitor
+    return monitor.running_threshold(q_entropy_monitor(spark, sf))
+
+
 @query("structural_scores", f"""
 SELECT dataset, line_id, round(a, 6) AS list_score, round(b, 6) AS set_score, round(0.6 * b + 0.4 * a, 6) AS hybrid_score,
   {S.match_class('a')} AS list_class, {S.match_class('b')} AS set_class

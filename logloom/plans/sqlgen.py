@@ -6,6 +6,8 @@ fragment is a plain expression over a column name or sub-expression.
 
 from __future__ import annotations
 
+import re
+
 from ..functions import text as T
 
 WS = T.WS_CLASS
@@ -20,6 +22,16 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+def unicode_words(pattern: str) -> str:
+    r"""The pattern with `\w` spelt out: it holds all letters, digits and marks, as in the presets' matcher."""
+    out, inside = [], False
+    for part in re.findall(r"\\.|[\[\]]|[^\\\[\]]+", pattern):
+        inside = part == "[" or (inside and part != "]")
+        word = r"\p{L}\p{N}\p{M}_"
+        out.append((word if inside else f"[{word}]") if part == r"\w" else part)
+    return "".join(out)
+
+
 def squeeze(x: str) -> str:
     return strip(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
 

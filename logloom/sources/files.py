@@ -7,8 +7,8 @@ reads will do, and columns and filters are pushed down where the format can.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import store as store_ops
@@ -23,12 +23,19 @@ def raw_lines(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """A1: `dataset, line_id, raw` of text files; line ids count from 1 in the order of
     files and lines, blank lines included. Undecodable bytes go.
 
-    The order comes from `zipWithIndex`, the one distributed numbering that follows the
-    splits of text files: it counts each split's lines first, then adds up the counts."""
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    out = lines.toDF(T.StructType([T.StructField("raw", T.StringType()), T.StructField("at", T.LongType())]))
-    return out.select(F.lit(dataset).alias("dataset"), (F.col("at") + 1).alias("line_id"),
-                      F.replace("raw", F.lit("�"), F.lit("")).alias("raw"))
+    Files follow each other by name, and a file's splits by where they begin. A task reads
+    a split from its first line to its last, so a line's place in its split is its row
+    number less that of the split's first line; splits add the lines of all before them
+    (a row for each split is summed up, not one for each line). Both readings are scans of
+    one plan, with the same splits; no line leaves the JVM or is shuffled by its text."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", at.alias("split"), F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("split").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("split", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(splits, "split").select(
+        F.lit(dataset).alias("dataset"), (F.col("row") + F.col("shift")).alias("line_id"),
+        F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("raw"))
 
 
 def non_blank_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -151,3 +151,12 @@ def doc_lines_sql() -> str:
             f"(SELECT doc_id, lang, generate_subscripts(string_split(text, chr(10)), 1) AS pos, "
             f"unnest(string_split(text, chr(10))) AS raw FROM documents) "
             f"WHERE NOT regexp_matches(raw, '^{ws}*$'))")
+
+
+def unknown_lines_sql() -> str:
+    """The same rows as `unknown_lines`."""
+    ws = T.WS_CLASS
+    return (f"(SELECT conv_id * 100000 + turn * 1000 + pos AS line_id, regexp_replace(raw, '^{ws}+|{ws}+$', '', 'g') AS raw FROM "
+            f"(SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS pos, "
+            f"unnest(string_split(text, chr(10))) AS raw FROM conversations) "
+            f"WHERE NOT regexp_matches(raw, '^{ws}*$'))")
