@@ -17,9 +17,10 @@ Plan shape
    two-level aggregate over `(group, cut)`; the best cut per group is a
    `max_by` (first cut wins ties).
 
-5. A component still above `cap` is clustered by rounds of reciprocal nearest
-   neighbours: block pairs give each cluster its nearest one, pairs that are
-   each other's nearest merge, and the state is checkpointed. No row is cut off.
+5. A component still above `cap` becomes a table of merge heights
+   (`dendrogram`), from which every cut is read; a sweep over distances clusters
+   once and joins all its cuts. Exact cluster counts come from that table, too, at
+   any size. No row is cut off.
 
 Equal heights are told apart by a hash of the two clusters' ids in both ways of
 clustering, so `cap` decides where the work is done, not what comes out.
@@ -27,8 +28,6 @@ clustering, so `cap` decides where the work is done, not what comes out.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,137 +35,10 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..plans import lineage
+from . import dendrogram as D
+from .kernels import DEFAULT_CAP, cut_labels, forest_edges, nn_chain
 
 GROUP = ("dataset", "pkey")
-DEFAULT_CAP = 5000  # 5000^2 float64 distances = 200 MB per task
-DIGITS = 9  # heights that agree so far are equal
-
-
-# ------------------------------------------------------------ numpy kernels
-
-def pairwise_euclidean(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
-    x = x.astype(np.float64)
-    y = x if y is None else y.astype(np.float64)
-    d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def pair_order(a, b) -> np.ndarray:
-    """A hash of two cluster ids, the same both ways round: the order of equal heights."""
-    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    h = np.minimum(a, b).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(a, b).astype(np.uint64)
-    for mult in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(mult)
-    return (h ^ (h >> np.uint64(31))).astype(np.int64)
-
-
-def nearest(row: np.ndarray, own: int, ids: np.ndarray) -> int:
-    """Place of the least height; of equal ones (to `DIGITS`) the first by `pair_order`."""
-    low = row.min()
-    ties = np.flatnonzero(row <= low + 2 * 10.0 ** -DIGITS)
-    if len(ties) > 1:
-        rounded = np.round(row[ties], DIGITS)
-        ties = ties[rounded == rounded.min()]
-    return int(ties[0] if len(ties) == 1 else ties[np.argmin(pair_order(own, ids[ties]))])
-
-
-def nn_chain(x: np.ndarray, linkage: str = "average", ids: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """All merges `(a, b, height)` of average/complete linkage (Euclidean).
-
-    Nearest-neighbour chain (Murtagh 1983; Müllner 2011): O(n^2) time, one
-    n x n matrix. The slot of the lower index carries the merged cluster.
-    """
-    n = len(x)
-    if n < 2:
-        return []
-    ids = np.arange(n) if ids is None else ids
-    d = pairwise_euclidean(x)
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    active = np.ones(n, dtype=bool)
-    merges: list[tuple[int, int, float]] = []
-    chain: list[int] = []
-    remaining = n
-    while remaining > 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(active)[0]))
-        a = chain[-1]
-        row = d[a]
-        b = nearest(row, ids[a], ids)
-        if len(chain) > 1 and b == chain[-2]:
-            chain.pop()
-            chain.pop()
-            h = float(np.round(d[a, b], DIGITS))
-            lo, hi = (a, b) if a < b else (b, a)
-            if linkage == "average":
-                new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-            elif linkage == "complete":
-                new = np.maximum(d[a], d[b])
-            else:
-                raise ValueError(f"unsupported linkage {linkage!r}")
-            d[lo, :] = new
-            d[:, lo] = new
-            d[hi, :] = np.inf
-            d[:, hi] = np.inf
-            d[lo, lo] = np.inf
-            size[lo] = size[a] + size[b]
-            active[hi] = False
-            merges.append((lo, hi, h))
-            remaining -= 1
-        else:
-            chain.append(b)
-    return merges
-
-
-def _find(parent: np.ndarray, i: int) -> int:
-    root = i
-    while parent[root] != root:
-        root = parent[root]
-    while parent[i] != root:
-        parent[i], i = root, parent[i]
-    return root
-
-
-def cut_labels(n: int, merges, threshold: float | None = None, n_merges: int | None = None) -> np.ndarray:
-    """Cluster representative per point: merges below `threshold` (strictly),
-    or the `n_merges` lowest merges (exact-k)."""
-    parent = np.arange(n)
-    if n_merges is not None:
-        chosen = sorted(merges, key=lambda m: m[2])[:n_merges]
-    else:
-        chosen = [m for m in merges if m[2] < threshold]
-    for a, b, _ in chosen:
-        ra, rb = _find(parent, a), _find(parent, b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    return np.array([_find(parent, i) for i in range(n)])
-
-
-def forest_edges(xa: np.ndarray, xb: np.ndarray | None, eps: float) -> list[tuple[int, int]]:
-    """Spanning-forest edges of the graph `distance < eps` between/within blocks.
-
-    Indices of `xb` are offset by len(xa). Emitting a forest instead of all
-    edges keeps the connectivity and bounds the output by the block sizes."""
-    na = len(xa)
-    near = pairwise_euclidean(xa, xb) < eps
-    total = na if xb is None else na + len(xb)
-    seen = np.zeros(total, dtype=bool)
-    out = []
-    for start in range(total):
-        stack = [] if seen[start] else [start]
-        seen[start] = True
-        while stack:
-            i = stack.pop()
-            if xb is None:
-                new = np.flatnonzero(near[i] & ~seen)
-            elif i < na:
-                new = np.flatnonzero(near[i] & ~seen[na:]) + na
-            else:
-                new = np.flatnonzero(near[:, i - na] & ~seen[:na])
-            seen[new] = True
-            out.extend((i, int(j)) for j in new)
-            stack.extend(new.tolist())
-    return out
 
 
 # ------------------------------------------------------------ grouped steps
@@ -174,26 +46,14 @@ def forest_edges(xa: np.ndarray, xb: np.ndarray | None, eps: float) -> list[tupl
 _CUT_SCHEMA = "gid string, uniq_ord long, cut int, thr double, label long"
 
 
-def _cluster_group_fn(linkage: str, exact_k: bool):
+def _cluster_group_fn(linkage: str):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uniq_ord", kind="stable")
         ords = pdf["uniq_ord"].to_numpy()
-        x = np.vstack(pdf["embedding"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-        thrs = list(pdf["thrs"].iloc[0])
-        merges = nn_chain(x, linkage, ords)
-        rows = []
-        gid = pdf["gid"].iloc[0]
-        for ci, thr in enumerate(thrs):
-            if exact_k:
-                k = int(thr)
-                lab = cut_labels(len(ords), merges, n_merges=max(len(ords) - k, 0))
-            else:
-                lab = cut_labels(len(ords), merges, threshold=float(thr))
-            rep = ords[lab]
-            rows.append(pd.DataFrame({"gid": gid, "uniq_ord": ords, "cut": ci,
-                                      "thr": float(thr), "label": rep}))
-        return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame(
-            columns=["gid", "uniq_ord", "cut", "thr", "label"])
+        merges = nn_chain(np.vstack(pdf["embedding"].to_numpy()), linkage, ords)
+        return pd.concat([pd.DataFrame({"gid": pdf["gid"].iloc[0], "uniq_ord": ords, "cut": ci, "thr": float(thr),
+                                        "label": ords[cut_labels(len(ords), merges, threshold=float(thr))]})
+                          for ci, thr in enumerate(pdf["thrs"].iloc[0])], ignore_index=True)
     return fn
 
 
@@ -217,7 +77,7 @@ def _forest_fn():
     return fn
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components of `(gid, u, v)` edges; returns `(gid, uniq_ord, comp)`
     with `comp` = smallest vertex id of the component.
 
@@ -230,7 +90,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
         edges.select("gid", F.col("v").alias("u"), F.col("u").alias("v")))
     und = lineage.cut(und)
     labels = lineage.cut(vertices.select("gid", "uniq_ord", F.col("uniq_ord").alias("comp")))
-    for _ in range(max_iter):
+    while True:  # labels only fall, so this ends
         nb = (und.join(labels.withColumnRenamed("uniq_ord", "v").withColumnRenamed("comp", "lv"), ["gid", "v"])
               .groupBy("gid", "u").agg(F.min("lv").alias("m")))
         step = (labels.join(nb.withColumnRenamed("u", "uniq_ord"), ["gid", "uniq_ord"], "left")
@@ -245,7 +105,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
         labels = new
         if changed == 0:
             return labels
-    raise RuntimeError("connected components did not converge")
 
 
 def split_components(big: DataFrame, eps_col: str = "eps", block: int = 1000) -> DataFrame:
@@ -255,7 +114,7 @@ def split_components(big: DataFrame, eps_col: str = "eps", block: int = 1000) ->
     is one task that emits a spanning forest of its `distance < eps` edges.
     """
     sizes = big.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
-    t = big.join(F.broadcast(sizes.select("gid", "n")), "gid") \
+    t = big.join(sizes, "gid") \
         .withColumn("nb", F.ceil(F.col("n") / F.lit(block)).cast("int")) \
         .withColumn("blk", F.pmod(F.xxhash64("uniq_ord"), F.col("nb")).cast("int"))
     rep = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -267,96 +126,6 @@ def split_components(big: DataFrame, eps_col: str = "eps", block: int = 1000) ->
     return big.join(comps, ["gid", "uniq_ord"])
 
 
-# ------------------------------------------------------------ rounds of reciprocal nearest neighbours
-
-_NEAREST_SCHEMA = "gid string, cl long, d double, h long, other long"
-
-
-def _by_cluster(pdf: pd.DataFrame):
-    """Vectors ordered by cluster, the cluster ids, where each begins, and the sizes."""
-    cl = pdf["cl"].to_numpy()
-    order = np.argsort(cl, kind="stable")
-    ids, starts, sizes = np.unique(cl[order], return_index=True, return_counts=True)
-    return np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)[order], ids, starts, sizes
-
-
-def linkage_matrix(xa, sa, na, xb, sb, nb, linkage: str, step: int = 256) -> np.ndarray:
-    """Average or complete linkage between clusters given as runs of rows, `step` rows at a time."""
-    fold = np.add if linkage == "average" else np.maximum
-    out = np.zeros((len(sa), len(sb)))
-    owner = np.repeat(np.arange(len(sa)), na)
-    for at in range(0, len(xa), step):
-        rows = fold.reduceat(pairwise_euclidean(xa[at:at + step], xb), sb, axis=1)
-        own, first = np.unique(owner[at:at + step], return_index=True)
-        out[own] = fold(out[own], fold.reduceat(rows, first, axis=0))
-    return out / (na[:, None] * nb[None, :]) if linkage == "average" else out
-
-
-def _nearest_rows(rows: list[tuple]) -> pd.DataFrame:
-    got = pd.DataFrame(rows, columns=["gid", "cl", "d", "other"]).astype({"gid": "str", "cl": "int64", "d": "float64", "other": "int64"})
-    got["d"] = np.round(got["d"], DIGITS)
-    got["h"] = pair_order(got["cl"], got["other"])
-    return got[["gid", "cl", "d", "h", "other"]]
-
-
-def _nearest_fn(linkage: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        eps, gid = float(pdf["eps"].iloc[0]), pdf["gid"].iloc[0]
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
-        if len(a) == 0 or (len(b) == 0 and not same):
-            return _nearest_rows([])
-        xa, ia, sa, na = _by_cluster(a)
-        xb, ib, sb, nb = (xa, ia, sa, na) if same else _by_cluster(b)
-        d = linkage_matrix(xa, sa, na, xb, sb, nb, linkage)
-        if same:
-            d = np.minimum(d, d.T)  # one value for both ways round
-            np.fill_diagonal(d, np.inf)
-        out = []
-        for m, own, others in ((d, ia, ib),) if same else ((d, ia, ib), (d.T, ib, ia)):
-            for i in np.flatnonzero(m.min(axis=1) < eps):
-                j = nearest(m[i], own[i], others)
-                out.append((gid, own[i], m[i, j], others[j]))
-        return _nearest_rows(out)
-    return fn
-
-
-def linkage_rounds(lines: DataFrame, linkage: str, block: int = 4000) -> DataFrame:
-    """Average or complete linkage of groups of any size, up to their largest cut:
-    `(gid, uniq_ord, embedding, thrs)` -> `_CUT_SCHEMA`.
-
-    A pair of reciprocal nearest neighbours merges whatever else does (both
-    linkages are reducible), so a round merges all of them; heights only grow, so
-    a merge below a cut joins two clusters that are whole at that cut. A round
-    compares all lines of a group, `block` lines or one larger cluster against as
-    many in a task, and holds one vector for each line and round on storage."""
-    state = lineage.cut(lines.select("gid", "uniq_ord", "embedding", "thrs", F.col("uniq_ord").alias("cl"),
-                                     F.transform("thrs", lambda t: F.col("uniq_ord")).alias("labels")))
-    blocks = F.broadcast(state.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb")))
-    while True:
-        t = state.join(blocks, "gid").withColumn("blk", F.pmod(F.xxhash64("cl"), F.col("nb")).cast("int"))
-        t = t.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        t = t.select("gid", "cl", "embedding", F.array_max("thrs").alias("eps"), F.least("blk", "to").alias("bi"),
-                     F.greatest("blk", "to").alias("bj"), F.when(F.col("blk") <= F.col("to"), 0).otherwise(1).alias("side"))
-        best = t.groupBy("gid", "bi", "bj").applyInPandas(_nearest_fn(linkage), _NEAREST_SCHEMA) \
-            .groupBy("gid", "cl").agg(F.min(F.struct("d", "h", "other")).alias("m")).select("gid", "cl", "m.d", "m.other")
-        best = lineage.cut(best)
-        if best.limit(1).count() == 0:
-            break
-        back = best.select("gid", F.col("cl").alias("other"), F.col("other").alias("cl"))
-        pairs = lineage.cut(best.join(back, ["gid", "cl", "other"])
-                            .select("gid", "cl", F.least("cl", "other").alias("to"), "d"))
-        if pairs.limit(1).count() == 0:
-            raise RuntimeError("no reciprocal nearest neighbours: two pairs of clusters have the same hash")
-        joined = state.join(pairs, ["gid", "cl"], "left")
-        lower = F.zip_with("labels", "thrs", lambda x, t: F.when(F.col("d") < t, F.col("to")).otherwise(x))
-        state = lineage.cut(joined.select("gid", "uniq_ord", "embedding", "thrs", F.coalesce("to", "cl").alias("cl"),
-                                          lower.alias("labels")))
-    each = F.posexplode(F.arrays_zip("thrs", "labels")).alias("cut", "c")
-    return state.select("gid", "uniq_ord", each).select(
-        "gid", "uniq_ord", "cut", F.col("c.thrs").alias("thr"), F.col("c.labels").alias("label"))
-
-
 # ------------------------------------------------------------ thresholds
 
 def _clamp(c):
@@ -379,67 +148,104 @@ def thresholds(method: str, dist: F.Column) -> F.Column:
 
 # ------------------------------------------------------------ main entry
 
-def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score: str = "default",
-                  linkage: str = "average", cap: int = DEFAULT_CAP, group_cols=GROUP,
-                  n_clusters: int | None = None, block: int = 1000) -> DataFrame:
-    """Cluster distinct lines within groups and pick the best cut per group.
-
-    `lines`: `(dataset, [pkey], uniq_ord, embedding[, freq])`. `dist` is a
-    float or a `(dataset, dist)` parameter frame. `method`: `two_stage` (E3,
-    E5 with score='frequency', E7 with a fixed dist), `single_stage` (E6),
-    `adaptive` (E8). `n_clusters` switches to exact-k over each data set (E2).
-    Returns the input with `cluster_id` (string) and `cut_thr`.
-    """
-    group_cols = list(group_cols)
-    df = lines
-    if "freq" not in df.columns:
-        df = df.withColumn("freq", F.lit(1).cast("long"))
+def _with_dist(df: DataFrame, dist) -> DataFrame:
     if isinstance(dist, DataFrame):
-        df = df.join(F.broadcast(dist.select("dataset", F.col("dist").alias("_dist"))), "dataset", "left") \
+        return df.join(F.broadcast(dist.select("dataset", F.col("dist").alias("_dist"))), "dataset", "left") \
             .withColumn("_dist", F.coalesce("_dist", F.lit(config.DEFAULT_DIST)))
-    else:
-        df = df.withColumn("_dist", F.lit(float(dist)))
-    exact_k = n_clusters is not None and n_clusters > 0
-    if exact_k:
-        group_cols = ["dataset"]
-        df = df.withColumn("thrs", F.array(F.lit(float(n_clusters))))
-    else:
-        df = df.withColumn("thrs", thresholds(method, F.col("_dist")))
-    df = df.withColumn("gid", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols]))
-    sizes = df.groupBy("gid").agg(F.count(F.lit(1)).alias("g_n"), F.sum("freq").alias("g_freq"))
-    df = df.join(sizes, "gid")
+    return df.withColumn("_dist", F.lit(float(dist)))
 
-    # singletons never need a Python worker
-    single = df.where(F.col("g_n") == 1).select(
-        "gid", "uniq_ord", F.lit(0).alias("cut"), F.element_at("thrs", 1).alias("thr"),
-        F.col("uniq_ord").alias("label"))
-    multi = df.where(F.col("g_n") > 1).select("gid", "uniq_ord", "embedding", "thrs", "g_n")
-    small = multi.where(F.col("g_n") <= cap).drop("g_n")
-    fn = _cluster_group_fn(linkage, exact_k)
-    cuts_small = small.groupBy("gid").applyInPandas(fn, _CUT_SCHEMA)
-    cuts = single.unionByName(cuts_small)
 
+def _with_k(df: DataFrame, n_clusters) -> tuple[DataFrame, bool, bool]:
+    """Adds `_k` (0: cut by distance); tells whether some data sets, and whether all, may be of exact size."""
+    if isinstance(n_clusters, DataFrame):
+        k = n_clusters.select("dataset", F.col("n_clusters").cast("long").alias("_k")).where("_k > 0")
+        if k.limit(1).count() == 0:
+            return df.withColumn("_k", F.lit(0).cast("long")), False, False
+        return df.join(F.broadcast(k), "dataset", "left").withColumn("_k", F.coalesce("_k", F.lit(0).cast("long"))), True, False
+    k = n_clusters or 0
+    return df.withColumn("_k", F.lit(max(k, 0)).cast("long")), k > 0, k > 0
+
+
+def _group_cuts(lines: DataFrame, linkage: str, cap: int, block: int) -> DataFrame:
+    """Labels of `(gid, uniq_ord, embedding, thrs, g_n)` at every cut, as `_CUT_SCHEMA`, each group clustered once."""
+    # singletons never need a Python worker
+    cuts = lines.where(F.col("g_n") == 1).select(
+        "gid", "uniq_ord", F.posexplode("thrs").alias("cut", "thr"), F.col("uniq_ord").alias("label"))
+    fn = _cluster_group_fn(linkage)
+    multi = lines.where(F.col("g_n") > 1).select("gid", "uniq_ord", "embedding", "thrs", "g_n")
+    cuts = cuts.unionByName(multi.where(F.col("g_n") <= cap).drop("g_n").groupBy("gid").applyInPandas(fn, _CUT_SCHEMA))
     big = multi.where(F.col("g_n") > cap)
-    if not exact_k and big.limit(1).count() > 0:
-        big = big.withColumn("eps", F.array_max("thrs"))
-        comps = split_components(big, block=block)
+    if big.limit(1).count() > 0:
+        comps = split_components(big.withColumn("eps", F.array_max("thrs")), block=block)
         csize = comps.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("c_n"))
         comp_in = lineage.cut(comps.join(csize, ["gid", "comp"])
-                              .withColumn("gid2", F.concat_ws("\u0002", "gid", F.col("comp").cast("string")))
-                              .select(F.col("gid2").alias("gid"), "uniq_ord", "embedding", "thrs", "c_n"))
-        part = comp_in.where(F.col("c_n") <= cap).drop("c_n").groupBy("gid").applyInPandas(fn, _CUT_SCHEMA)
+                              .withColumn("gid", F.concat_ws("\u0002", "gid", F.col("comp").cast("string")))
+                              .select("gid", "uniq_ord", "embedding", "thrs", "eps", "c_n"))
+        part = comp_in.where(F.col("c_n") <= cap).drop("c_n", "eps").groupBy("gid").applyInPandas(fn, _CUT_SCHEMA)
         over = comp_in.where(F.col("c_n") > cap).drop("c_n")
         if over.limit(1).count() > 0:
-            part = part.unionByName(linkage_rounds(over, linkage))
+            part = part.unionByName(D.labels_at(over, D.dendrogram(over, linkage, cap)))
         cuts = cuts.unionByName(part.withColumn("gid", F.substring_index("gid", "\u0002", 1)))
-    elif exact_k and big.limit(1).count() > 0:
-        raise RuntimeError(f"exact-k clustering of a data set above cap={cap} distinct lines is not supported")
-
-    chosen = choose_cut(cuts, df.select("gid", "uniq_ord", "freq", "g_n", "g_freq"), method, score)
-    out = df.join(chosen, ["gid", "uniq_ord"])
-    return out.withColumn("cluster_id", F.concat_ws("#", *[F.col(c).cast("string") for c in group_cols],
-                                                   F.col("label").cast("string"))) \
-        .drop("gid", "thrs", "_dist", "g_n", "g_freq", "label")
+    return cuts
+
+
+def _grouped(df: DataFrame, cols) -> DataFrame:
+    df = df.withColumn("gid", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols]))
+    return df.join(df.groupBy("gid").agg(F.count(F.lit(1)).alias("g_n"), F.sum("freq").alias("g_freq")), "gid")
+
+
+def _named(df: DataFrame, cols) -> DataFrame:
+    return df.withColumn("cluster_id", F.concat_ws("#", *[F.col(c).cast("string") for c in cols], F.col("label").cast("string"))) \
+        .drop("gid", "thrs", "_dist", "_k", "g_n", "g_freq", "label")
+
+
+def cluster_lines(lines: DataFrame, dist=0.7, method: str = "two_stage", score: str = "default",
+                  linkage: str = "average", cap: int = DEFAULT_CAP, group_cols=GROUP,
+                  n_clusters: int | DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """Cluster distinct lines within groups and pick the best cut per group.
+
+    `lines`: `(dataset, [pkey], uniq_ord, embedding[, freq])`. `dist` is a
+    float or a `(dataset, dist)` parameter frame. `method`: `two_stage` (E3,
+    E5 with score='frequency', E7 with a fixed dist), `single_stage` (E6),
+    `adaptive` (E8). `n_clusters`, a number or a `(dataset, n_clusters)` frame,
+    switches a data set to exactly so many clusters over all its lines (E2),
+    whatever their keys and `dist`; null or 0 leaves it to the cuts.
+    Returns the input with `cluster_id` (string) and `cut_thr` (null for E2).
+    """
+    values = cluster_sweep(lines, [dist], method, score, linkage, cap, group_cols, n_clusters, block)
+    return values.drop("value_no")
+
+
+def cluster_sweep(lines: DataFrame, dists: list, method: str = "two_stage", score: str = "default",
+                  linkage: str = "average", cap: int = DEFAULT_CAP, group_cols=GROUP,
+                  n_clusters: int | DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """`cluster_lines` for several values of `dist`, every group clustered once for the cuts
+    of all of them; adds `value_no`, the place of the value in `dists`."""
+    df = lines if "freq" in lines.columns else lines.withColumn("freq", F.lit(1).cast("long"))
+    df, some, every = _with_k(df, n_clusters)
+    out = None
+    if not every:
+        g = df.where(F.col("_k") == 0)
+        for i, d in enumerate(dists):
+            g = _with_dist(g, d).withColumn(f"_thrs{i}", thresholds(method, F.col("_dist"))).drop("_dist")
+        # encoded once for all that follows
+        g = lineage.cut(_grouped(g, group_cols).withColumn("thrs", F.array_sort(F.array_distinct(F.flatten(F.array(
+            *[F.col(f"_thrs{i}") for i in range(len(dists))]))))))
+        cuts = lineage.cut(_group_cuts(g, linkage, cap, block))
+        for i in range(len(dists)):
+            mine = g.select("gid", f"_thrs{i}").groupBy("gid").agg(F.first(f"_thrs{i}").alias("own"))
+            own = cuts.drop("cut").join(mine.select("gid", F.posexplode("own").alias("cut", "thr")), ["gid", "thr"])
+            chosen = choose_cut(own, g.select("gid", "uniq_ord", "freq", "g_n", "g_freq"), method, score)
+            one = _named(g.drop(*[f"_thrs{k}" for k in range(len(dists))]).join(chosen, ["gid", "uniq_ord"]), list(group_cols))
+            one = one.withColumn("value_no", F.lit(i))
+            out = one if out is None else out.unionByName(one)
+    if some:
+        g = lineage.cut(_grouped(df.where(F.col("_k") > 0), ["dataset"]))
+        lab = D.labels_exact(g.select("gid", "uniq_ord", F.col("_k").alias("k")), D.dendrogram(g, linkage, cap))
+        exact = _named(g.join(lab, ["gid", "uniq_ord"]), ["dataset"]).withColumn("cut_thr", F.lit(None).cast("double"))
+        exact = exact.withColumn("value_no", F.explode(F.array(*[F.lit(i) for i in range(len(dists))])))
+        out = exact if out is None else out.unionByName(exact)
+    return out
 
 
 def cut_scores(cuts: DataFrame, lines: DataFrame, score: str = "default") -> DataFrame:

@@ -45,7 +45,8 @@ def build_store(lines: DataFrame, params: DataFrame | None = None, *, dist=None,
 
     `lines`: `(dataset, line_id, content, normalised)`. Per-system parameters
     come from `params` `(dataset, dist, tau, n_clusters)` or the scalar
-    overrides. Variants: `default`, `fixed_distance` (dist 0.5 everywhere),
+    overrides; a system with `n_clusters` is clustered to exactly that many, without
+    keyword groups and whatever its `dist`. Variants: `default`, `fixed_distance` (dist 0.5 everywhere),
     `no_keyword` (single-stage clustering), `no_prefix` (T4 voting).
     Rows come out with `store_ord` = first line of the cluster.
     """
@@ -59,6 +60,8 @@ def build_store(lines: DataFrame, params: DataFrame | None = None, *, dist=None,
         d = config.DEFAULT_DIST
     method = "single_stage" if variant == "no_keyword" else "two_stage"
     k = n_clusters
+    if k is None and params is not None and "n_clusters" in params.columns:
+        k = params
     clustered = C.cluster_lines(emb, dist=d, method=method, score=score, cap=cap, n_clusters=k)
     clustered = clustered.select("dataset", "cluster_id", "normalised", "content", "uniq_ord", "embedding")
     t = params if tau is None else float(tau)

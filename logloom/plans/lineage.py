@@ -8,6 +8,8 @@ live on executors and die with them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +30,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
         raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder "
                            "(tests call logloom.session.ensure_checkpoint_dir)")
     return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as Parquet in the shared checkpoint folder, read back. For loops that rename
+    columns each round: a checkpointed plan keeps the optimizer's constraints, which
+    double with every alias; a file scan has none."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if base is None:
+        raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder")
+    path = f"{base}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

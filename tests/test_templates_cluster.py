@@ -3,8 +3,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.operators import cluster as C
+from logloom.operators import dendrogram as D
 from logloom.operators import templates
 
 
@@ -93,13 +95,27 @@ def test_component_above_cap_is_clustered_whole(spark):
     assert len(rounds) == 12 and rounds == whole
 
 
-@pytest.mark.parametrize("linkage", ["average", "complete"])
-def test_linkage_rounds_equal_nn_chain(spark, linkage):
+def _points(pts, eps=None):
+    rows = [("g", i, [float(v) for v in p]) + (() if eps is None else (eps,)) for i, p in enumerate(pts)]
+    return rows, "gid string, uniq_ord long, embedding array<double>" + ("" if eps is None else ", eps double")
+
+
+def _merges(df):
+    return sorted((r["gid"], r["height"], r["size"], r["parent"], r["child"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("linkage,block", [("average", 20)])
+def test_rounds_give_the_cuts_of_one_chain(spark, linkage, block):
     # many equal distances, since coordinates are multiples of 0.1
     pts = np.unique(np.random.default_rng(7).integers(0, 4, size=(40, 3)), axis=0) / 10
     thrs = (0.11, 0.15, 0.2)
-    df = spark.createDataFrame([("g", i, [float(v) for v in p], list(thrs)) for i, p in enumerate(pts)],
-                               "gid string, uniq_ord long, embedding array<double>, thrs array<double>")
-    got = {(r["cut"], r["uniq_ord"]): r["label"] for r in C.linkage_rounds(df, linkage, block=20).collect()}
-    merges = C.nn_chain(pts, linkage)
-    assert got == {(c, i): int(x) for c, t in enumerate(thrs) for i, x in enumerate(C.cut_labels(len(pts), merges, threshold=t))}
+    df = spark.createDataFrame(*_points(pts, max(thrs)))
+    report = []
+    merges = D.dendrogram(df, linkage, cap=4, block=block, report=report)
+    at = df.withColumn("thrs", F.array(*map(F.lit, thrs)))
+    got = {(r["cut"], r["uniq_ord"]): r["label"] for r in D.labels_at(at, merges).collect()}
+    chain = C.nn_chain(pts, linkage)
+    assert got == {(c, i): int(x) for c, t in enumerate(thrs) for i, x in enumerate(C.cut_labels(len(pts), chain, threshold=t))}
+    assert report[0]["looking"] == len(pts) and all(r["looking"] <= r["clusters"] for r in report)
+    assert [r["clusters"] for r in report] == sorted((r["clusters"] for r in report), reverse=True)
+    assert report[-1]["block_pairs"] < report[0]["block_pairs"]
