@@ -13,6 +13,12 @@ are the places before a space mark and around characters without a piece. The
 text is cut there by a pattern, and the ids of short cuts met before come from a
 bounded table in each worker.
 
+A vocabulary made by merges gives each piece its merge's rank in place of a score.
+Ranks follow frequency, so such pieces get the logarithm of a Zipf-Mandelbrot
+frequency, 1 / (rank + ZIPF_SHIFT): a fixed rule, nothing is fitted. Scores of other
+vocabularies are taken as they are. Paths are looked at for a common boundary once in
+twice the longest piece's characters.
+
 A text gets a leading space; spaces are written as U+2581. A character that is no
 piece is written as its UTF-8 bytes, and so is U+2581 itself where the text has
 it, so decoding gives back every text exactly. Ties go to the longer last piece.
@@ -23,6 +29,7 @@ are encoded as often as they come; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import rows_of, texts
 
 MARK, UNKNOWN_COST, CACHED, PREFIX = "▁", 10.0, 600_000, ()
+ZIPF_SHIFT = 100.0
 COLUMNS = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean"
 ENCODED = "doc_id long, ids array<int>"
 
@@ -65,6 +73,8 @@ class Pieces:
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = range(m.get_piece_size())
         plain = [(m.id_to_piece(i), m.get_score(i), i) for i in n if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        if all(s == int(s) for _, s, _ in plain):
+            plain = [(p, -math.log(ZIPF_SHIFT - s), i) for p, s, i in plain]
         return cls(plain, [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
     def stream(self, text: str) -> Iterator[list[int]]:

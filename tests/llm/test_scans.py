@@ -121,6 +121,21 @@ def test_streamed_paths_are_best():
             assert [i for run in p.stream(marked) for i in run] == p.encode(plain).tolist()
 
 
+def test_as_many_ids_as_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p, library = V.pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    text = (
+        "The quick brown fox jumps over the lazy dog and runs away from the farmer's house. Large tables are read in parts, "
+        "and every part is sorted before it is written. In the morning the children walked to school together, talking about "
+        "the weather, their holidays and the new teacher who had arrived from another country last week."
+    )
+    ours, theirs = p.encode(text).tolist(), library.encode(text)
+    assert abs(len(ours) - len(theirs)) <= 0.02 * len(theirs) + 1
+    assert len(set(ours) & set(theirs)) > 0.9 * len(set(theirs))
+
+
 def test_ids_are_handed_out_early():
     p = V.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     handed = list(p.stream("abcde" * 4000))
