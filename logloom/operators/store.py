@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -115,36 +116,84 @@ def keyword_lookup(store: DataFrame, keywords: DataFrame) -> DataFrame:
     return s.join(q, ["dataset", "first_fixed_kw"])
 
 
-def _ema(c, v, occ_after):
-    """One centroid step: alpha = 1/(occurrences + 1), then renormalise (+1e-8)."""
-    alpha = 1.0 / (occ_after + 1.0)
-    u = F.zip_with(c, v, lambda a, b: (alpha * b + (1.0 - alpha) * a))
-    n = V.l2norm(u)
-    return F.transform(u, lambda x: x / (n + 1e-8))
+_STEP_COLS = ("dataset", "template_id", "line_id", "n", "vector")
+_FOLDED = "dataset string, template_id string, centroid array<float>"
+
+
+def _fold(batches):
+    """Centroids of templates whose rows (STEP_COLS, the first one the start) follow each
+    other; holds one centroid at a time, whatever the number of rows."""
+    key, seen, at = None, 0.0, None
+
+    def out(rows):
+        sets, ids, vectors = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(sets, pa.string()), pa.array(ids, pa.string()), pa.array(vectors, pa.list_(pa.float32()))],
+            ["dataset", "template_id", "centroid"])
+
+    for b in batches:
+        done = []
+        sets, ids, counts = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("dataset", "template_id", "n"))
+        vectors = b.column(b.schema.get_field_index("vector"))
+        for k, n, v in zip(zip(sets, ids, strict=True), counts, vectors, strict=True):
+            v = v.values.to_numpy(zero_copy_only=False)
+            if k != key:
+                if key is not None:
+                    done.append((*key, at.astype(np.float32)))
+                key, seen, at = k, float(n), v.copy()
+                continue
+            seen += n
+            alpha = 1.0 / (seen + 1.0)
+            u = alpha * v + (1.0 - alpha) * at
+            at = u / (np.sqrt(u @ u) + 1e-8)
+        if done:
+            yield out(done)
+    if key is not None:
+        yield out([(*key, at.astype(np.float32))])
+
+
+def folded_centroids(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """Ordered centroid fold (G3, G4): `dataset, template_id, centroid`.
+
+    `starts` and `steps`: STEP_COLS, `n` the occurrences a row brings. A template begins
+    with its row in `starts`, or else with its first step; each further step adds `n`, then
+    blends with alpha = 1/(occurrences + 1) and renormalises (+1e-8). Steps go in order of
+    `line_id`, equal ones by `n` and vector. The order is the definition, so a template's
+    rows are read by one task, but as a sorted stream that Spark spills: nothing is
+    gathered. Null vectors are no steps.
+    """
+    def part(df, later):
+        return df.select("dataset", "template_id", F.lit(later).alias("_later"), F.col("line_id").cast("long").alias("line_id"),
+                         F.col("n").cast("double").alias("n"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = part(starts, 0).unionByName(part(steps, 1)).where(F.col("vector").isNotNull())
+    # By a hash of its own: a shuffle by the plain keys is left out where both inputs seem to have
+    # that partitioning, which no longer holds once a join below is run as a broadcast.
+    rows = (rows.repartition(F.xxhash64("dataset", "template_id"))
+            .sortWithinPartitions("dataset", "template_id", "_later", "line_id", "n", "vector"))
+    return rows.select(*_STEP_COLS).mapInArrow(_fold, _FOLDED)
+
+
+def _starts(store: DataFrame, touched: DataFrame) -> DataFrame:
+    return (store.join(touched, ["dataset", "template_id"], "left_semi")
+            .select("dataset", "template_id", F.lit(0).alias("line_id"), F.col("occurrences").alias("n"),
+                    F.col("centroid").alias("vector")))
 
 
 def apply_hits(store: DataFrame, hits: DataFrame, as_of=None) -> DataFrame:
     """G4 batch form: fold ordered hits `(dataset, template_id, line_id, vector)`
     into the store. Each hit adds 1 to `occurrences` first, then blends with
-    alpha = 1/(occurrences + 1). The fold is sequential per template by
-    definition, so `hits` should be a micro-batch (the streaming path)."""
+    alpha = 1/(occurrences + 1) (`folded_centroids`). Counts are partial sums. Hits of
+    templates that the store lacks are left out."""
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-    g = hits.groupBy("dataset", "template_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_id", "vector"))).alias("_h"))
-    j = store.join(g, ["dataset", "template_id"], "left")
-    init = F.struct(F.col("occurrences").cast("double").alias("o"),
-                    F.transform("centroid", lambda x: x.cast("double")).alias("c"))
-
-    def step(acc, h):
-        o = acc["o"] + 1.0
-        return F.struct(o.alias("o"), _ema(acc["c"], F.transform(h["vector"], lambda x: x.cast("double")), o).alias("c"))
-    folded = F.aggregate(F.coalesce("_h", F.array().cast(g.schema["_h"].dataType)), init, step)
-    out = j.withColumn("_f", folded)
-    return out.select(
+    counts = hits.groupBy("dataset", "template_id").agg(F.count(F.lit(1)).alias("_n"))
+    steps = (hits.withColumn("n", F.lit(1)).join(store.select("dataset", "template_id"), ["dataset", "template_id"], "left_semi"))
+    moved = folded_centroids(_starts(store, counts), steps).withColumnRenamed("centroid", "_c")
+    j = store.join(counts, ["dataset", "template_id"], "left").join(moved, ["dataset", "template_id"], "left")
+    return j.select(
         "dataset", "template_id", "template",
-        F.transform("_f.c", lambda x: x.cast("float")).alias("centroid"),
-        F.col("_f.o").cast("long").alias("occurrences"), "first_seen",
-        F.when(F.col("_h").isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.coalesce("_c", F.col("centroid").cast("array<float>")).alias("centroid"),
+        (F.col("occurrences") + F.coalesce("_n", F.lit(0))).cast("long").alias("occurrences"), "first_seen",
+        F.when(F.col("_n").isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"),
         "source", "store_ord")
 
 
@@ -152,34 +201,24 @@ def upsert(store: DataFrame, delta: DataFrame, as_of=None) -> DataFrame:
     """Add templates `(dataset, template, centroid, count, source, line_id)`.
 
     Same id -> occurrences += count, last_seen refreshed, centroid blended with
-    alpha = 1/(occurrences + 1) (after the increment); else a new row. Several
-    delta rows for one id fold in `line_id` order. Counts and first rows are plain
-    aggregates; only the centroid, whose steps depend on their order, gathers a
-    template's delta rows, and only where it is asked for.
+    alpha = 1/(occurrences + 1) (after the increment); else a new row, which starts
+    from its first delta row. Several delta rows for one id fold in `line_id` order
+    (`folded_centroids`); counts and first rows are partial aggregates.
     """
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     d = delta.withColumn("template_id", T.template_id("template"))
     row = F.struct("line_id", F.col("count").alias("cnt"), F.col("centroid").alias("vector"), "template", "source")
-    g = d.groupBy("dataset", "template_id").agg(
-        F.sum("count").alias("_n"), F.min(row).alias("_first"), F.array_sort(F.collect_list(row)).alias("_d"))
-    j = store.join(g, ["dataset", "template_id"], "full_outer")
+    g = d.groupBy("dataset", "template_id").agg(F.sum("count").alias("_n"), F.min(row).alias("_first"))
+    steps = d.select("dataset", "template_id", "line_id", F.col("count").alias("n"), F.col("centroid").alias("vector"))
+    moved = folded_centroids(_starts(store, g), steps).withColumnRenamed("centroid", "_c")
+    j = (store.join(g, ["dataset", "template_id"], "full_outer")
+         .join(moved, ["dataset", "template_id"], "left"))
     first = F.col("_first")
-    # a new id starts from its first delta row, the rest fold in
-    o0 = F.when(F.col("template").isNull(), first["cnt"].cast("double")).otherwise(F.col("occurrences").cast("double"))
-    c0 = F.when(F.col("template").isNull(), first["vector"]).otherwise(F.col("centroid"))
-    rest = F.when(F.col("template").isNull(), F.slice("_d", 2, 1 << 30)).otherwise(F.col("_d"))
-    init = F.struct(o0.alias("o"), F.transform(c0, lambda x: x.cast("double")).alias("c"))
-
-    def step(acc, h):
-        o = acc["o"] + h["cnt"]
-        return F.struct(o.alias("o"), _ema(acc["c"], F.transform(h["vector"], lambda x: x.cast("double")), o).alias("c"))
-    folded = F.when(F.col("_d").isNull(), init).otherwise(F.aggregate(rest, init, step))
     max_ord = store.agg(F.max("store_ord")).collect()[0][0] or 0  # one scalar
-    out = j.withColumn("_f", folded)
-    return out.select(
+    return j.select(
         "dataset", "template_id",
         F.coalesce("template", first["template"]).alias("template"),
-        F.transform("_f.c", lambda x: x.cast("float")).alias("centroid"),
+        F.coalesce("_c", F.col("centroid").cast("array<float>")).alias("centroid"),
         (F.coalesce("occurrences", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("occurrences"),
         F.coalesce("first_seen", now).alias("first_seen"),
         F.when(first.isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"),

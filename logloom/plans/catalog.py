@@ -477,7 +477,24 @@ def q_topk_matmul(spark, sf):
     return r.select(F.col("line_id").alias("vec_id"), "rank", "template_id", F.round("score", 4).alias("score"))
 
 
-@query("store_hits")
+def _folded_sql(starts: str, steps: str) -> str:
+    """Centroids after the ordered fold: `starts` (id, o, c), `steps` (id, k from 1, n, v)."""
+    blended = "list_transform(list_zip(f.c, h.v), lambda p: p[2] / (f.o + h.n + 1) + p[1] * (1 - 1 / (f.o + h.n + 1)))"
+    return f"""
+f AS (SELECT id, 0 AS k, CAST(o AS DOUBLE) AS o, c FROM {starts} UNION ALL
+  SELECT id, k, o, list_transform(u, lambda x: x / (sqrt(list_sum(list_transform(u, lambda y: y * y))) + 1e-8))
+  FROM (SELECT f.id, h.k, f.o + h.n AS o, {blended} AS u FROM f JOIN {steps} h ON h.id = f.id AND h.k = f.k + 1)),
+folded AS (SELECT id, o, list_transform(c, lambda x: round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3)) AS centroid
+  FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)"""
+
+
+@query("store_hits", f"""
+WITH RECURSIVE h AS MATERIALIZED (SELECT label AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, 1 AS n,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS MATERIALIZED (SELECT st.store_ord AS id, st.template_id, e.n AS o, list_transform(st.centroid, lambda x: CAST(x AS DOUBLE)) AS c
+  FROM {_LABEL_STORE_SQL} st JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) e ON e.label = st.store_ord),
+{_folded_sql('s', 'h')}
+SELECT s.template_id, CAST(folded.o AS BIGINT) AS occurrences, folded.centroid FROM s JOIN folded USING (id)""")
 def q_store_hits(spark, sf):
     e = tables.embedding_vectors(spark, sf)
     st = label_store(spark, sf)
@@ -488,7 +505,16 @@ def q_store_hits(spark, sf):
     return out.select("template_id", "occurrences", F.transform("centroid", lambda x: F.round(x.cast("double"), 3)).alias("centroid"))
 
 
-@query("store_upsert")
+@query("store_upsert", f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT label + vec_id % 3 AS id, row_number() OVER (PARTITION BY label + vec_id % 3 ORDER BY vec_id) AS j, 1 AS n,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+e AS MATERIALIZED (SELECT st.store_ord AS id, n AS o, list_transform(st.centroid, lambda x: CAST(x AS DOUBLE)) AS c
+  FROM {_LABEL_STORE_SQL} st JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) x ON x.label = st.store_ord),
+s AS MATERIALIZED (SELECT id, o, c FROM e UNION ALL SELECT id, n, v FROM d WHERE j = 1 AND id NOT IN (SELECT id FROM e)),
+h AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY j) AS k, n, v FROM d WHERE j > 1 OR id IN (SELECT id FROM e)),
+{_folded_sql('s', 'h')}
+SELECT substr(md5('cluster ' || CAST(id AS VARCHAR) || ' <*>'), 1, 8) AS template_id, 'cluster ' || CAST(id AS VARCHAR) || ' <*>' AS template,
+  CAST(o AS BIGINT) AS occurrences, CASE WHEN id IN (SELECT id FROM e) THEN 'parser' ELSE 'online' END AS source, centroid FROM folded""")
 def q_store_upsert(spark, sf):
     st = label_store(spark, sf)
     e = tables.embedding_vectors(spark, sf)
@@ -497,7 +523,9 @@ def q_store_upsert(spark, sf):
         F.concat(F.lit("cluster "), (F.col("label") + F.col("vec_id") % 3).cast("string"), F.lit(" <*>")).alias("template"),
         F.col("embedding").alias("centroid"), F.lit(1).alias("count"), F.lit("online").alias("source"),
         F.col("vec_id").alias("line_id"))
-    return store.upsert(st, delta, as_of="2024-01-02").select("template_id", "template", "occurrences", "source")
+    out = store.upsert(st, delta, as_of="2024-01-02")
+    return out.select("template_id", "template", "occurrences", "source",
+                      F.transform("centroid", lambda x: F.round(x.cast("double"), 3)).alias("centroid"))
 
 
 @query("keyword_lookup", f"""
