@@ -1,12 +1,11 @@
 """Baseline parsers used for comparison.
 
-* B23 — token LCS similarity `2*LCS/(m+n)`: an Arrow-batched pandas UDF (numpy
-  dynamic programming) behind a native length bound, because
-  `2*min(m,n)/(m+n) < thr` already rules a pair out.
+* B23 — token LCS similarity `2*LCS/(m+n)`: an Arrow-batched pandas UDF, a bit
+  for each token of one side.
 * L1/L2 — the LCS leader parser: a line becomes a template when no earlier
-  template reaches the threshold. Learning is order-dependent, so training
-  runs as a keyed stateful stream (state = the data set's templates) over
-  bounded micro-batches; matching frozen templates is a parallel join.
+  template reaches the threshold. Texts are compared through a similarity join
+  (`lcs_pairs`), and the templates are found in rounds, all data sets at once:
+  a text without an undecided earlier text near it leads, texts near a leader fall.
 * L3 — the fixed-depth tree parser (He et al., 2017): lines are routed by
   (token count, first tokens with digits masked) — a native key — and each
   leaf keeps its groups in state, again in bounded micro-batches.
@@ -21,6 +20,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import DoubleType
@@ -28,23 +28,27 @@ from pyspark.sql.types import DoubleType
 from .. import config
 from ..functions import text as T
 from ..plans import lineage
+from . import frame_ops
+
+
+def _places(tokens: list) -> dict:
+    places: dict = {}
+    for k, x in enumerate(tokens):
+        places[x] = places.get(x, 0) | 1 << k
+    return places
+
+
+def _lcs(tokens: list, places: dict, n: int) -> int:
+    """A clear bit says that the LCS grows at this place of the other side."""
+    full = row = (1 << n) - 1
+    for x in tokens:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return n - row.bit_count()
 
 
 def lcs_len(a: list, b: list) -> int:
-    if not a or not b:
-        return 0
-    prev = np.zeros(len(b) + 1, dtype=np.int32)
-    bb = np.asarray(b, dtype=object)
-    for x in a:
-        eq = (bb == x)
-        cur = np.zeros_like(prev)
-        # cur[j] = prev[j-1]+1 if eq else max(prev[j], cur[j-1]); the max over
-        # cur[j-1] is a running maximum, done with accumulate
-        diag = np.where(eq, prev[:-1] + 1, 0)
-        cur[1:] = np.maximum(prev[1:], diag)
-        cur = np.maximum.accumulate(cur)
-        prev = cur
-    return int(prev[-1])
+    return _lcs(a, _places(b), len(b))
 
 
 def lcs_sim(a: str, b: str) -> float:
@@ -56,7 +60,16 @@ def lcs_sim(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """B23 as a vectorised UDF over pairs of strings."""
-    return pd.Series([lcs_sim(x or "", y or "") for x, y in zip(a, b)])
+    seen: dict = {}  # of this batch
+    out = []
+    for x, y in zip(a, b):
+        x, y = (x or "").split(), y or ""
+        if y not in seen:
+            tokens = y.split()
+            seen[y] = _places(tokens), len(tokens)
+        places, n = seen[y]
+        out.append(2.0 * _lcs(x, places, n) / (len(x) + n) if len(x) + n else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
 def _run_keyed_stream(spark, lines: DataFrame, key: str, fn, out_schema: str, state_schema: str,
@@ -69,36 +82,101 @@ def _run_keyed_stream(spark, lines: DataFrame, key: str, fn, out_schema: str, st
     return ordered_feed(spark, lines, build, chunks=files, tag="baseline")
 
 
-def lcs_parse(spark: SparkSession, lines: DataFrame, thr: float = config.LCS_THR, text: str = "normalised") -> DataFrame:
-    """L1: streaming LCS parser. Each line takes the first best template with
-    similarity >= thr, else becomes a template itself (`is_new`)."""
-    def fn(key, pdfs, state):
-        tmpls = list(state.get[0]) if state.exists else []
-        toks = [t.split() for t in tmpls]
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("line_id", kind="stable")
-        out = []
-        for lid, s in zip(pdf["line_id"], pdf[text]):
-            lt = s.split()
-            best, bi = -1.0, -1
-            for i, tt in enumerate(toks):
-                if not tt:
-                    continue
-                if 2.0 * min(len(lt), len(tt)) / (len(lt) + len(tt)) <= best:
-                    continue  # cannot beat the current best
-                sim = 2.0 * lcs_len(lt, tt) / (len(lt) + len(tt))
-                if sim > best:
-                    best, bi = sim, i
-            if best >= thr and bi >= 0:
-                out.append((key[0], int(lid), tmpls[bi], False))
-            else:
-                tmpls.append(s)
-                toks.append(lt)
-                out.append((key[0], int(lid), s, True))
-        state.update((tmpls,))
-        yield pd.DataFrame(out, columns=["dataset", "line_id", "template", "is_new"])
-    return _run_keyed_stream(spark, lines.select("dataset", "line_id", text), "dataset", fn,
-                             "dataset string, line_id long, template string, is_new boolean",
-                             "templates array<string>")
+def _rare_first(texts: DataFrame, often: DataFrame, thr: float) -> DataFrame:
+    """`dataset, id, n, token, nth`: of each text `(dataset, id, text)` the tokens of which
+    a text with LCS similarity >= thr must share one, rarest first by `often`.
+
+    The LCS takes no more than the tokens in common, counted with repeats. As
+    2c/(m+n) >= thr and n >= c, a partner has at least c = thr*m/(2-thr) of m tokens, so
+    one of the first m - c + 1 in any order that both sides keep.
+    """
+    tokens = texts.select("dataset", "id", F.explode(T.tokens("text")).alias("token"))
+    counts = tokens.groupBy("dataset", "id", "token").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    item = F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "times")
+    each = (counts.join(often, ["dataset", "token"], "left").groupBy("dataset", "id")
+            .agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("times").cast("int").alias("n")))  # one text's
+    nth = F.flatten(F.transform("items", lambda x: F.transform(
+        F.sequence(F.lit(1), x["times"]), lambda k: F.struct(x["token"].alias("token"), k.alias("nth")))))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(thr / (2.0 - thr)) - F.lit(1e-9)))
+    return (each.select("dataset", "id", "n", F.explode(F.slice(nth, F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("e"))
+            .select("dataset", "id", "n", "e.*"))
+
+
+def lcs_pairs(left: DataFrame, right: DataFrame, thr: float, earlier: bool = False) -> DataFrame:
+    """Similarity join: `dataset, a, b, sim` of all pairs with LCS similarity >= thr > 0.
+
+    `left`, `right`: `(dataset, id, text)`, ids unique in a data set. Pairs that share one of
+    their rare tokens and agree in length are compared, no others; `earlier` keeps b < a
+    only. Null texts and texts without tokens have no pairs.
+    """
+    if not 0.0 < thr <= 1.0:
+        raise ValueError("thr must be above 0, up to 1")
+    often = (right.select("dataset", "id", F.explode(F.array_distinct(T.tokens("text"))).alias("token"))
+             .groupBy("dataset", "token").agg(F.count(F.lit(1)).alias("often")))
+    p = _rare_first(left, often, thr).withColumnsRenamed({"id": "a", "n": "m"})
+    q = _rare_first(right, often, thr).withColumnRenamed("id", "b")
+    both = p.join(q, ["dataset", "token", "nth"]).where(2.0 * F.least("m", "n") / (F.col("m") + F.col("n")) >= thr)
+    if earlier:
+        both = both.where("b < a")
+    met = (both.select("dataset", "a", "b").distinct()
+           .join(left.select("dataset", F.col("id").alias("a"), F.col("text").alias("_a")), ["dataset", "a"])
+           .join(right.select("dataset", F.col("id").alias("b"), F.col("text").alias("_b")), ["dataset", "b"]))
+    return met.select("dataset", "a", "b", lcs_similarity("_a", "_b").alias("sim")).where(F.col("sim") >= thr)
+
+
+def _leaders(texts: DataFrame, thr: float) -> DataFrame:
+    """Texts `(dataset, id, text)` without an earlier leader (by id) of similarity >= thr.
+
+    In each round the texts that no undecided earlier text is near to lead, and the
+    texts near them fall; this is what going through them in order gives."""
+    near = lineage.stored(lcs_pairs(texts, texts, thr, earlier=True).select("dataset", "a", "b"))
+    out, open_ = texts.limit(0).select("dataset", "id"), texts.select("dataset", "id")
+    while not near.isEmpty():
+        lead = open_.join(near.select("dataset", F.col("a").alias("id")), ["dataset", "id"], "left_anti")
+        fell = near.join(lead.withColumnRenamed("id", "b"), ["dataset", "b"], "left_semi").select("dataset", F.col("a").alias("id"))
+        out = lineage.stored(out.unionByName(lead))
+        open_ = lineage.stored(open_.join(out, ["dataset", "id"], "left_anti").join(fell, ["dataset", "id"], "left_anti"))
+        for end in ("a", "b"):
+            near = near.join(open_.withColumnRenamed("id", end), ["dataset", end], "left_semi")
+        near = lineage.stored(near)
+    return texts.join(out.unionByName(open_), ["dataset", "id"], "left_semi")
+
+
+def lcs_parse(spark: SparkSession, lines: DataFrame, thr: float = config.LCS_THR, text: str = "normalised",
+              first: int = 100, growth: int = 10) -> DataFrame:
+    """L1: the LCS parser. Each line, in order of `line_id`, takes the first best of the
+    templates there by then with similarity >= thr, else becomes a template itself (`is_new`).
+
+    Distinct texts go in blocks of their order, each `growth` times the one before: what
+    the templates so far match needs no more, only the rest is compared with itself.
+    A line without tokens is new each time; null texts give a null template.
+    """
+    rows = lines.select("dataset", "line_id", F.col(text).alias("text"))
+    texts = rows.where(F.size(T.tokens("text")) > 0).groupBy("dataset", "text").agg(F.min("line_id").alias("id"))
+    texts = lineage.stored(frame_ops.positional_index(texts, ("dataset",), "id", "_pos"))
+    last = texts.agg(F.max("_pos")).first()[0]
+    led = texts.limit(0).select("dataset", "id", "text")
+    low, size = 0, first
+    while last is not None and low <= last:
+        block = texts.where(F.col("_pos").between(low, low + size - 1)).select("dataset", "id", "text")
+        if low:
+            met = lcs_pairs(block, led, thr).select("dataset", F.col("a").alias("id"))
+            block = lineage.stored(block.join(met, ["dataset", "id"], "left_anti"))
+        led = lineage.stored(led.unionByName(_leaders(block, thr)))
+        low, size = low + size, size * growth
+    # Of a text's templates in order only those better than all before them are ever taken.
+    before = W.partitionBy("dataset", "a").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    better = (lcs_pairs(texts.select("dataset", "id", "text"), led, thr)
+              .withColumn("_best", F.max("sim").over(before)).where(F.col("_best").isNull() | (F.col("sim") > F.col("_best")))
+              .join(led.select("dataset", F.col("id").alias("b"), F.col("text").alias("template")), ["dataset", "b"])
+              .join(texts.select("dataset", F.col("id").alias("a"), "text"), ["dataset", "a"])
+              .groupBy("dataset", "text").agg(F.array_sort(F.collect_list(F.struct("b", "template"))).alias("better")))  # rising sims of one text
+    there = F.filter("better", lambda x: x["b"] <= F.col("line_id"))
+    # The last one there is the best; a line that leads is its own template.
+    took = F.element_at(there, -1)
+    leads = F.when(F.col("better").isNull() | (F.size(there) == 0), True).otherwise(took["b"] == F.col("line_id"))
+    return rows.join(better, ["dataset", "text"], "left").select(
+        "dataset", "line_id", F.when(leads, F.col("text")).otherwise(took["template"]).alias("template"), leads.alias("is_new"))
 
 
 def lcs_templates(spark: SparkSession, train: DataFrame, thr: float = config.LCS_THR, text: str = "normalised") -> DataFrame:
@@ -108,18 +186,18 @@ def lcs_templates(spark: SparkSession, train: DataFrame, thr: float = config.LCS
 
 
 def lcs_match(lines: DataFrame, tmpls: DataFrame, thr: float = config.LCS_THR, text: str = "normalised") -> DataFrame:
-    """L2 match against frozen templates: first best (lowest `t_ord`) with
-    similarity >= thr, else unmatched (`template` null). A native length bound
-    prunes pairs before the UDF."""
-    lt = lines.select("dataset", "line_id", F.col(text).alias("_l"), F.size(T.tokens(text)).alias("_m"))
-    tt = tmpls.select("dataset", "t_ord", "template", F.size(T.tokens("template")).alias("_n"))
-    j = lt.join(tt, "dataset").where(
-        (F.col("_n") > 0) & (2.0 * F.least("_m", "_n") / (F.col("_m") + F.col("_n")) >= thr))
-    j = j.withColumn("sim", lcs_similarity(F.col("_l"), F.col("template")))
-    best = j.where(F.col("sim") >= thr).groupBy("dataset", "line_id").agg(
-        F.max_by(F.struct("template", "sim"), F.struct(F.col("sim"), -F.col("t_ord"))).alias("b"))
-    return lines.select("dataset", "line_id").join(best, ["dataset", "line_id"], "left") \
-        .select("dataset", "line_id", F.col("b.template").alias("template"), F.col("b.sim").alias("sim"))
+    """L2 match against frozen templates: first best (lowest `t_ord`, unique in a data set)
+    with similarity >= thr, else unmatched (`template` null). Each distinct text is
+    matched once (`lcs_pairs`)."""
+    rows = lines.select("dataset", "line_id", F.col(text).alias("text"))
+    texts = rows.where(F.col("text").isNotNull()).groupBy("dataset", "text").agg(F.min("line_id").alias("id"))
+    t = tmpls.select("dataset", F.col("t_ord").alias("id"), F.col("template").alias("text"))
+    best = (lcs_pairs(texts, t, thr).groupBy("dataset", F.col("a").alias("id"))
+            .agg(F.max(F.struct("sim", (-F.col("b")).alias("_b"))).alias("best"))
+            .select("dataset", "id", F.col("best.sim").alias("sim"), (-F.col("best._b")).alias("t_ord")))
+    best = (best.join(tmpls.select("dataset", "t_ord", "template"), ["dataset", "t_ord"])
+            .join(texts, ["dataset", "id"]).select("dataset", "text", "template", "sim"))
+    return rows.join(best, ["dataset", "text"], "left").select("dataset", "line_id", "template", "sim")
 
 
 # ------------------------------------------------------------------ tree parser
