@@ -116,6 +116,11 @@ def encode_with(factory: Callable[[], Callable[[list[str]], np.ndarray]],
     return lambda c: _enc(_c(c))
 
 
+def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """C3 in the shape that `encode_with` takes."""
+    return lambda lines: np.array(_hash_vectors(lines, dim), dtype=np.float32).reshape(len(lines), dim)
+
+
 def encode_lines(df: DataFrame, col: str = "normalised", out: str = "embedding",
                  encoder=None, dim: int = 64) -> DataFrame:
     """Encode a column: native hashed encoder by default, or a pluggable one
@@ -124,14 +129,31 @@ def encode_lines(df: DataFrame, col: str = "normalised", out: str = "embedding",
     return df.withColumn(out, enc)
 
 
-def cached_encode(lines: DataFrame, cache: DataFrame | None, keys=("dataset", "normalised"),
-                  encoder=None, dim: int = 64) -> DataFrame:
-    """Reuse cached vectors keyed by `(dataset, normalised)`; encode only the
-    misses (left-anti join), then union. Stronger than a row-count check."""
-    keys = list(keys)
-    if cache is None:
-        return encode_lines(lines, keys[-1], encoder=encoder, dim=dim)
-    hit = lines.join(cache.select(*keys, "embedding"), keys, "inner")
-    miss = encode_lines(lines.join(cache.select(*keys), keys, "left_anti"), keys[-1], encoder=encoder, dim=dim)
-    return hit.unionByName(miss)
+_KEPT = "encoder string, text string, embedding array<float>"
+
 
+def kept_encode(lines: DataFrame, path: str, name: str, col: str = "normalised", out: str = "embedding",
+                encoder=None, dim: int = 64) -> DataFrame:
+    """Vectors by content, kept as a Parquet table at `path` (a folder all machines share).
+
+    A row holds an encoder's `name`, a text and its vector; the folder is divided by name,
+    so models never mix. Texts of `lines` that the table lacks are encoded once each and
+    appended before `lines` is joined to it; a second run encodes nothing. Two runs at once
+    may both append a text: one of its rows is taken. A null text counts as an empty one.
+    A write that fails appends nothing, so a run can be repeated.
+    """
+    if not name or out in lines.columns:
+        raise ValueError("an encoder needs a name, and `out` a name that the lines do not have")
+    spark = lines.sparkSession
+    spark.createDataFrame([], _KEPT).write.mode("append").partitionBy("encoder").parquet(path)  # the folder
+
+    def kept():
+        table = spark.read.schema(_KEPT).parquet(path).where(F.col("encoder") == name)
+        return table.select(F.col("text").alias("_kept_text"), F.col("embedding").alias(out)).dropDuplicates(["_kept_text"])
+
+    text = F.coalesce(F.col(col), F.lit(""))
+    new = (lines.select(text.alias("_kept_text")).distinct()
+           .join(kept().select("_kept_text"), "_kept_text", "left_anti").withColumnRenamed("_kept_text", "text"))
+    rows = encode_lines(new, "text", encoder=encoder, dim=dim).select(F.lit(name).alias("encoder"), "text", "embedding")
+    rows.write.mode("append").partitionBy("encoder").parquet(path)
+    return lines.join(kept(), text == F.col("_kept_text")).drop("_kept_text")

@@ -41,7 +41,8 @@ def centroids(df: DataFrame, keys, vec: str = "embedding", eps: float = 1e-8) ->
 def build_store(lines: DataFrame, params: DataFrame | None = None, *, dist=None, tau=None,
                 n_clusters=None, variant: str = "default", score: str = "default",
                 encoder=None, dim: int = 64, cap: int = C.DEFAULT_CAP, as_of=None,
-                embedded: DataFrame | None = None) -> DataFrame:
+                embedded: DataFrame | None = None, cache_path: str | None = None,
+                encoder_name: str = "hashed") -> DataFrame:
     """G2 (+G8 variants): preprocessed lines -> store rows, all data sets at once.
 
     `lines`: `(dataset, line_id, content, normalised)`. Per-system parameters
@@ -49,10 +50,15 @@ def build_store(lines: DataFrame, params: DataFrame | None = None, *, dist=None,
     overrides; a system with `n_clusters` is clustered to exactly that many, without
     keyword groups and whatever its `dist`. Variants: `default`, `fixed_distance` (dist 0.5 everywhere),
     `no_keyword` (single-stage clustering), `no_prefix` (T4 voting).
-    Rows come out with `store_ord` = first line of the cluster.
+    Rows come out with `store_ord` = first line of the cluster. With `cache_path`, vectors
+    are taken from and added to the table there, under `encoder_name` (`kept_encode`).
     """
     uniq = frame_ops.distinct_lines(lines)
-    emb = embedded if embedded is not None else V.cached_encode(uniq, None, encoder=encoder, dim=dim)
+    emb = embedded
+    if emb is None and cache_path is not None:
+        emb = V.kept_encode(uniq, cache_path, encoder_name, encoder=encoder, dim=dim)
+    elif emb is None:
+        emb = V.encode_lines(uniq, encoder=encoder, dim=dim)
     emb = C.assign_partition_keys(emb, keyword_stage=(variant != "no_keyword"))
     d = params if dist is None else float(dist)
     if variant == "fixed_distance":

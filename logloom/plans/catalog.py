@@ -318,7 +318,7 @@ def q_positional_variance(spark, sf):
 
 # ------------------------------------------------------------ C3, G1, E4
 
-@query("hashed_embedding", f"""
+_HASHED_SQL = f"""
 WITH d AS {_distinct_sql(DOC_PP)},
 t AS (SELECT dataset, normalised, unnest({S.tokens('normalised')}) AS tok FROM d),
 h AS (SELECT dataset, normalised, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) AS h FROM t),
@@ -328,13 +328,29 @@ n AS (SELECT dataset, normalised, sqrt(sum(v * v)) AS nrm FROM b GROUP BY ALL),
 g AS (SELECT d.dataset, d.normalised, r.range AS bucket FROM d CROSS JOIN range(64) r)
 SELECT g.dataset, g.normalised, list(round(CASE WHEN n.nrm > 0 THEN coalesce(b.v, 0) / n.nrm ELSE 0.0 END, 4)
   ORDER BY g.bucket) AS embedding
-FROM g LEFT JOIN b USING (dataset, normalised, bucket) LEFT JOIN n USING (dataset, normalised) GROUP BY ALL""")
+FROM g LEFT JOIN b USING (dataset, normalised, bucket) LEFT JOIN n USING (dataset, normalised) GROUP BY ALL"""
+
+
+@query("hashed_embedding", _HASHED_SQL)
 def q_hashed_embedding(spark, sf):
     d = frame_ops.distinct_lines(docs_pp(spark, sf))
     e = V.hashed_embedding(F.col("normalised"))
     return d.select("dataset", "normalised", F.transform(e, lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
+@query("cached_embedding", _HASHED_SQL)
+def q_cached_embedding(spark, sf):
+    """A plugged-in encoder behind the table of kept vectors: the offline lines are
+    encoded by a first run, the second run over all lines adds what is left."""
+    from ..streaming.feed import scratch
+    lines, path = docs_pp(spark, sf), scratch(spark, "vectors")
+    encoder = V.encode_with(V.hashing_encoder)
+    offline = frame_ops.ordered_split(lines).where(F.col("split") == "offline").drop("split", "pos")
+    V.kept_encode(frame_ops.distinct_lines(offline), path, "hashed-64", encoder=encoder)
+    d = V.kept_encode(frame_ops.distinct_lines(lines), path, "hashed-64", encoder=encoder)
+    return d.select("dataset", "normalised", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
+
+
 @query("label_centroids", """
 WITH ex AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS pos, unnest(embedding) AS v FROM embeddings),
 m2 AS (SELECT label, list(a ORDER BY pos) AS c FROM (SELECT label, pos, avg(v) AS a FROM ex GROUP BY ALL) GROUP BY label)
