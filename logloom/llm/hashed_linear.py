@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_POWERS, U64, Scratch, hashes_between, mix, prefix_sums, rows_of, word_spans
 
-BITS, STEPS, SMALL, PARTS, BUFFER = 18, 40, 2e-4, 8, 1 << 20  # SMALL: what large weights cost
+BITS, STEPS, SMALL, PARTS, BUFFER = 18, 40, 2e-4, 4, 1 << 20  # SMALL: what large weights cost; PARTS: gradients that come to the driver in a step
 BETWEEN = np.ones(256, np.int8)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 0
 NO_MARK = 1 - BETWEEN
@@ -158,15 +158,18 @@ def fit(rows: DataFrame, loss, width: int, extra: np.ndarray, steps: int = STEPS
                 row = [total.astype(np.float32).tobytes(), total_more.tobytes(), float(value), n]
                 yield pa.RecordBatch.from_arrays([pa.array([b]) for b in row], ["by_weight", "by_more", "value", "n"])
 
-        got = table.mapInArrow(gradient, "by_weight binary, by_more binary, value double, n long").collect()  # a row of fixed size for each partition
+        # A row of fixed size for each partition. They come as Arrow batches: rows would be copied several times in the driver's JVM.
+        got = table.mapInArrow(gradient, "by_weight binary, by_more binary, value double, n long").toArrow()
         sent.destroy()
-        n = max(1, sum(r["n"] for r in got))
-        by = np.zeros(x.shape)
-        for r in got:
-            by += np.concatenate([np.frombuffer(r["by_weight"], np.float32), np.frombuffer(r["by_more"], np.float64)]) / n
-        kept_small = x.copy()
-        kept_small[places * width :] = 0
-        return sum(r["value"] for r in got) / n + SMALL / 2 * (kept_small @ kept_small), by + SMALL * kept_small
+        n, by = max(1, sum(got.column("n").to_pylist())), np.zeros(x.shape)
+        for weight, more in zip(got.column("by_weight"), got.column("by_more"), strict=True):
+            by[: places * width] += np.frombuffer(weight.as_buffer(), np.float32)
+            by[places * width :] += np.frombuffer(more.as_buffer(), np.float64)
+        by /= n
+        value = sum(got.column("value").to_pylist()) / n
+        flat = x[: places * width]
+        by[: places * width] += SMALL * flat
+        return value + SMALL / 2 * (flat @ flat), by
 
     x = lowest(summed, np.concatenate([np.zeros(places * width), extra]), steps)
     scratch.drop("features")
