@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_POWERS, U64, Scratch, hashes_between, mix, prefix_sums, rows_of, word_spans
 
-BITS, STEPS, SMALL, PARTS, BUFFER = 18, 40, 2e-4, 4, 1 << 20  # SMALL: what large weights cost; PARTS: gradients that come to the driver in a step
+BITS, STEPS, SMALL, PARTS, BUFFER = 18, 40, 2e-4, 8, 1 << 20  # SMALL: what large weights cost
 BETWEEN = np.ones(256, np.int8)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 0
 NO_MARK = 1 - BETWEEN
@@ -163,11 +163,9 @@ def fit(rows: DataFrame, loss, width: int, extra: np.ndarray, steps: int = STEPS
         sent.destroy()
         n, by = max(1, sum(got.column("n").to_pylist())), np.zeros(x.shape)
         for weight, more in zip(got.column("by_weight"), got.column("by_more"), strict=True):
-            by[: places * width] += np.frombuffer(weight.as_buffer(), np.float32)
-            by[places * width :] += np.frombuffer(more.as_buffer(), np.float64)
-        by /= n
-        value = sum(got.column("value").to_pylist()) / n
-        flat = x[: places * width]
+            by[: places * width] += np.frombuffer(weight.as_buffer(), np.float32) / n
+            by[places * width :] += np.frombuffer(more.as_buffer(), np.float64) / n
+        value, flat = sum(got.column("value").to_pylist()) / n, x[: places * width]
         by[: places * width] += SMALL * flat
         return value + SMALL / 2 * (flat @ flat), by
 
