@@ -163,11 +163,10 @@ def fit(rows: DataFrame, loss, width: int, extra: np.ndarray, steps: int = STEPS
         sent.destroy()
         n, by = max(1, sum(got.column("n").to_pylist())), np.zeros(x.shape)
         for weight, more in zip(got.column("by_weight"), got.column("by_more"), strict=True):
-            by[: places * width] += np.frombuffer(weight.as_buffer(), np.float32) / n
-            by[places * width :] += np.frombuffer(more.as_buffer(), np.float64) / n
-        value, flat = sum(got.column("value").to_pylist()) / n, x[: places * width]
-        by[: places * width] += SMALL * flat
-        return value + SMALL / 2 * (flat @ flat), by
+            by += np.concatenate([np.frombuffer(weight.as_buffer(), np.float32), np.frombuffer(more.as_buffer(), np.float64)]) / n
+        kept_small = x.copy()
+        kept_small[places * width :] = 0
+        return sum(got.column("value").to_pylist()) / n + SMALL / 2 * (kept_small @ kept_small), by + SMALL * kept_small
 
     x = lowest(summed, np.concatenate([np.zeros(places * width), extra]), steps)
     scratch.drop("features")
