@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import cluster as C
 from logloom.operators import dendrogram as D
+from logloom.operators import kernels as K
 from logloom.operators import templates
 
 
@@ -119,3 +120,42 @@ def test_rounds_give_the_cuts_of_one_chain(spark, linkage, block):
     assert report[0]["looking"] == len(pts) and all(r["looking"] <= r["clusters"] for r in report)
     assert [r["clusters"] for r in report] == sorted((r["clusters"] for r in report), reverse=True)
     assert report[-1]["block_pairs"] < report[0]["block_pairs"]
+
+
+def test_equal_lines_above_cap_are_one_point(spark, monkeypatch):
+    # 120 lines on 12 places: rounds and components see places, not lines
+    monkeypatch.setattr(C.D, "merge_rounds", lambda *a, **k: pytest.fail("12 places need no rounds"))
+    monkeypatch.setattr(C, "split_components", lambda *a, **k: pytest.fail("12 places need no components"))
+    rows = [("d", "k", i, [i % 12 / 10]) for i in range(120)]
+    df = spark.createDataFrame(rows, "dataset string, pkey string, uniq_ord long, embedding array<double>")
+    whole, few = ({r["uniq_ord"]: (r["cluster_id"], r["cut_thr"]) for r in
+                   C.cluster_lines(df, dist=0.3, cap=cap).collect()} for cap in (1000, 20))
+    assert len(few) == 120 and few == whole
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_half_matrix_shrinks_and_keeps_the_order_of_ties(linkage):
+    # 300 points on a grid (many equal distances), as clusters of several points, too
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.integers(0, 9, size=(400, 3)), axis=0) / 10
+    n, w = len(x), rng.integers(1, 4, size=len(x))
+    d = K.pairwise_euclidean(x)
+    np.fill_diagonal(d, np.inf)
+    half = K.half_distances(x)
+    assert n > K.ROWS_AT_ONCE and all(np.allclose(half.row(i), d[i]) for i in range(n))
+    ids, size, want = np.arange(n), w.astype(float), set()
+    while len(ids) > 1:  # every pair that is each other's nearest, over the whole matrix
+        near = np.array([K.nearest(d[i], ids[i], ids) for i in range(len(ids))])
+        lo = next(i for i in range(len(ids)) if near[near[i]] == i)
+        hi = near[lo]
+        want.add((int(ids[lo]), int(ids[hi]), float(np.round(d[lo, hi], K.DIGITS))))
+        new = (size[lo] * d[lo] + size[hi] * d[hi]) / (size[lo] + size[hi]) if linkage == "average" else np.maximum(d[lo], d[hi])
+        new[lo] = np.inf
+        d[lo], d[:, lo], size[lo] = new, new, size[lo] + size[hi]
+        ids, size, d = np.delete(ids, hi), np.delete(size, hi), np.delete(np.delete(d, hi, 0), hi, 1)
+    assert {(a, b, h) for a, b, h in C.nn_chain(x, linkage, sizes=w)} == want
+    runs = np.arange(0, n, 3)
+    some = K.half_linkage(x, w, runs, linkage)
+    all_ = K.linkage_matrix(x, w, runs, x, w, runs, linkage)
+    np.fill_diagonal(all_, np.inf)
+    assert all(np.allclose(some.row(i), all_[i]) for i in range(len(runs)))
