@@ -170,3 +170,24 @@ def test_crowds_of_unlinked_families_give_few_rows(spark):
                 root[y] = x
     assert got == {d: top(d) for d in sets}
     assert all(n < 5 * len(docs) for n in seen), seen
+
+
+def test_blocks_repeat_no_member_and_every_outer_pair_meets_once(spark, monkeypatch):
+    """A crowd with few outsiders: its rows go into one block each, whatever the number of blocks."""
+    monkeypatch.setattr(B, "BLOCK", 16)
+    family = {k: 0 if k >= 40 else k % 20 + 1 for k in range(1000)}
+    rows = spark.createDataFrame([(7, k, 9, f) for k, f in family.items()], "value long, rep long, n long, family long")
+    own = spark.createDataFrame([(k, f"t{k}") for k in family], "rep long, text string")
+    pairs = B._blocks(rows, own, "value", "family", F.lit(1), "text").toArrow()
+    cells = [pairs.slice(k, 1) for k in range(len(pairs))]
+    assert len(cells) <= 3 * 63
+    every = [m["rep"] for c in {c["j"][0].as_py(): c for c in cells}.values() for m in c["every"][0].as_py()]
+    assert sorted(every) == sorted(family)
+    met = Counter()
+    for c in cells:
+        members, outer, meet = B._met(c)
+        rep = members.field("rep").to_pylist()
+        assert members.field("text").to_pylist() == [f"t{r}" for r in rep]
+        met.update(tuple(sorted((rep[outer[x]], rep[y]))) for x, y in zip(*np.nonzero(meet)))
+    want = {(a, b) for a in family for b in family if a < b and (family[a] or family[b])}
+    assert set(met) == want and set(met.values()) == {1}
