@@ -23,6 +23,12 @@ def _sizes(clustered: DataFrame, keys=CL) -> DataFrame:
     return clustered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def _apart(df: DataFrame, keys) -> DataFrame:
+    """The rows as they are, no longer known to be dealt by `keys`. A union whose parts all seem to be is taken as
+    dealt by them as a whole, which fails once a join inside one part is run as a broadcast."""
+    return df.withColumn(keys[-1], T.once(keys[-1]))
+
+
 def _assemble(pos_tokens: DataFrame, keys, tok_col: str, collapse_empty_to_wildcard=True) -> DataFrame:
     """Ordered tokens per cluster -> collapsed template string."""
     agg = pos_tokens.groupBy(*keys).agg(
@@ -112,7 +118,7 @@ def extract_templates(clustered: DataFrame, tau=0.5, keys=CL, prefixes: bool = T
     toks = restore_prefixes(voted, multi, keys) if prefixes else voted.withColumnRenamed("voted", "tok")
     kk = [*keys, "tau"] if sweep else list(keys)
     many = _assemble(toks, kk, "tok").join(sizes, list(keys))
-    return singles.unionByName(many)
+    return _apart(singles, keys).unionByName(many)
 
 
 def extract_templates_no_prefix(clustered: DataFrame, tau=0.5, keys=CL,
@@ -136,7 +142,7 @@ def extract_templates_no_prefix(clustered: DataFrame, tau=0.5, keys=CL,
     tok = F.when(F.col("best.cnt") / F.col("n_lines") >= F.col("_thr"), F.col("best.tok")).otherwise(F.lit(T.WILDCARD))
     many = _assemble(per_pos.select(*keys, "pos", tok.alias("tok")), keys, "tok",
                      collapse_empty_to_wildcard=False).join(sizes, list(keys))
-    return singles.unionByName(many)
+    return _apart(singles, keys).unionByName(many)
 
 
 def attention_templates(rows: DataFrame, tau=0.5, variance_thr: float = 0.01, keys=CL) -> DataFrame:
