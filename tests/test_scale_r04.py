@@ -135,3 +135,12 @@ def test_cells_hold_no_texts(spark):
     assert [(r.line_id, r.template, round(r.score, 6)) for r in sorted(got)] == [(i, text + " <*>", round(0.5 + 0.5 * (0.8 + 0.2 * 40 / 41), 6)) for i in (1, 2)]
     got = {r.line_id: r.score for r in cross_search.keyword_blocked_best(lines, stores).collect()}
     assert set(got) == {1, 2, 3} and got[3] is None and abs(got[1] - (0.7 + 0.3 * (0.8 + 0.2 * 40 / 41))) < 1e-6
+
+
+def test_first_scores_are_a_stable_sort(monkeypatch):
+    rnd = np.random.default_rng(10)
+    monkeypatch.setattr(np, "partition", None)  # the store is not partitioned for every line
+    for n in (0, 1, 3, 4, 50):
+        for extra in ([], [np.nan], [-np.inf] * 3):
+            s = np.append(np.round(rnd.normal(size=n), 1), extra).astype(np.float32)
+            assert learner.best_first(s, 3).tolist() == np.argsort(-s, kind="stable")[:3].tolist()
